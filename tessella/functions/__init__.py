@@ -1 +1 @@
-
+"""Column expressions: text, numbers, maps and time. All of them stay in the JVM."""
