@@ -155,7 +155,7 @@ def revisions(c: Column) -> Column:
     pattern = r"\[r(\d+)\] (\S+) [—→] ([^\n]+)"
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     part = lambda x, i: F.regexp_extract(x, pattern, i)
-    return F.transform(found, lambda x: F.struct(part(x, 1).cast("int").alias("rev"), F.try_to_timestamp(part(x, 2)).alias("at"), part(x, 3).alias("note")))
+    return F.transform(found, lambda x: F.struct(part(x, 1).cast("int").alias("rev"), F.coalesce(F.try_to_timestamp(part(x, 2)), F.try_to_timestamp(part(x, 2), F.lit("yyyy-MM-dd'T'HH:mmX"))).alias("at"), part(x, 3).alias("note")))
 
 
 def citations(c: Column) -> Column:

@@ -45,7 +45,7 @@ def load_runs(gradings: DataFrame, timings: DataFrame, compat: bool = False) ->
         tokens = F.coalesce(F.nullif(F.when(untimed, F.coalesce("t_tokens", F.lit(0))), F.lit(0)), "output_chars", F.lit(0))
     else:
         tokens = F.col("t_tokens")
-    return g.withColumn("time_seconds", time).withColumn("tokens", tokens.cast("long")).drop("t_time", "t_tokens")
+    return g.withColumns({"time_seconds": time, "tokens": tokens.cast("long")}).drop("t_time", "t_tokens")
 
 
 def eval_ids(rows: DataFrame, meta: DataFrame | None = None) -> DataFrame:
