@@ -138,7 +138,7 @@ def observations(c: Column) -> Column:
         lambda x: F.struct(
             F.regexp_extract(x, r"^- \[([a-z_]+)\]", 1).alias("category"),
             F.regexp_replace(F.regexp_replace(x, r"^- \[[a-z_]+\] ", ""), r"(\s+#[\w-]+)+\s*$", "").alias("statement"),
-            F.regexp_extract_all(x, F.lit(r"#([\w-]+)"), F.lit(1)).alias("tags"),
+            F.regexp_extract_all(x, F.lit(r"\s#([\w-]+)"), F.lit(1)).alias("tags"),
         ),
     )
 

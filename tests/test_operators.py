@@ -320,3 +320,35 @@ def test_listing_sinks(spark):
     assert [r.query for r in C.export_evals(items).collect()] == ["b", "a"]
     d = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
     assert I.pick_named(d("a"), d("a", "b"), "a").count() == 1 and I.pick_named(d("a"), d("b"), "b").count() == 1 and I.pick_named(d("a"), d("b"), "c").count() == 0
+
+
+def test_reports(spark):
+    from tessella.sources import reports as W
+
+    s = spark.createDataFrame([("old_skill", "pass_rate", 0.5, 0.1), ("with_skill", "pass_rate", 1.0, 0.0)], "configuration string, metric string, mean double, stddev double")
+    d = spark.createDataFrame([("pass_rate", -0.5)], "metric string, delta double")
+    assert "| pass_rate | 50% ± 10% | 100% ± 0% | -0.50 |" in W.benchmark_markdown(s, d)
+    r = spark.createDataFrame([(1, "a<b", True, 1.0), (2, "a<b", False, 0.25)], "iteration int, query string, pass boolean, trigger_rate double")
+    page = W.trigger_report(r, ["a<b", "c"])
+    assert "a&lt;b" in page and 'class="fail">0.25' in page and page.count("<tr>") == 3
+    files = spark.createDataFrame([("s/SKILL.md", b"x"), ("s/evals/e", b"y")], "path string, content binary")
+    assert zipfile.ZipFile(io.BytesIO(W.package(files))).namelist() == ["s/SKILL.md"]
+    checked = spark.createDataFrame([("d", "b", ["too_small"], False), ("d", "a", [], True)], "doc string, path string, issues array<string>, suitable boolean")
+    assert W.image_report(checked).first().report == "ok a\nbad b: too_small"
+    runs = spark.createDataFrame([("r", 1)], "run_id string, n int")
+    f = spark.createDataFrame([("r", "p", "text", "t", None)], "run_id string, path string, kind string, text string, uri string")
+    fb = spark.createDataFrame([("r", "good")], "run_id string, feedback string")
+    assert '"feedback":"good"' in W.review_data(runs, f, fb).first().json
+
+
+def test_converters(spark):
+    from tessella.operators.convert import convert, with_status
+
+    def broken(path, content):
+        raise ValueError("no")
+
+    files = spark.createDataFrame([("a.docx", b"hi"), ("b.doc", b"x"), ("c.pdf", b"")], "path string, content binary")
+    got = convert(files, [("first", broken), ("second", lambda p, c: c.decode() or None)])
+    assert rows(got.select("path", "converter", "markdown")) == [("a.docx", "second", "hi"), ("b.doc", None, None), ("c.pdf", None, None)]
+    images = spark.createDataFrame([("c.pdf", ["1"])], "path string, images array<string>")
+    assert rows(with_status(got, images)) == [("a.docx", "markdown_only"), ("b.doc", "failed"), ("c.pdf", "images_only")]
