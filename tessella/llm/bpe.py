@@ -19,7 +19,7 @@ import regex
 from tessella.llm.ragged import U64, hashes, separators
 
 NONE = np.int64(1) << 40
-MEMO = 1 << 19
+MEMO = 1 << 18
 TREE_LEAVES = 32
 
 
@@ -352,24 +352,31 @@ def pre_tokens(tables: Tables, text: str) -> list[str | int]:
 
 
 class Memo:
-    """Sorted chunk hashes with what each chunk gives; when full it starts anew with the last batch."""
+    """Sorted chunk hashes with what each chunk gives. New ones gather in a small table first; when full, all starts anew."""
 
-    def __init__(self, dtype) -> None:
-        self.keys, self.dtype = np.zeros(0, U64), dtype
-        self.values: tuple[np.ndarray, ...] = ()
+    def __init__(self, most: int = MEMO) -> None:
+        self.most, self.tables = most, []
 
     def learn(self, keys: np.ndarray, values: tuple[np.ndarray, ...]) -> None:
-        if len(self.keys) and len(self.keys) + len(keys) <= MEMO:
-            keys = np.concatenate([self.keys, keys])
-            values = tuple(np.concatenate(x) for x in zip(self.values, values))
+        size = sum(len(k) for k, _ in self.tables)
+        if size + len(keys) > self.most:
+            self.tables = []
+        while self.tables and (len(self.tables[-1][0]) < 4 * len(keys) or len(self.tables) > 3):
+            k, v = self.tables.pop()
+            keys, values = np.concatenate([k, keys]), tuple(np.concatenate(x) for x in zip(v, values))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], tuple(v[order] for v in values)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        self.tables.append((keys[order], tuple(v[order] for v in values)))
+
+    def fill(self, keys: np.ndarray, values: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Puts what is known of the keys into values; returns where nothing is known."""
+        unknown = np.arange(len(keys))
+        for k, known in self.tables:
+            at = np.minimum(np.searchsorted(k, keys[unknown]), len(k) - 1)
+            hit = k[at] == keys[unknown]
+            for v, x in zip(values, known):
+                v[unknown[hit]] = x[at[hit]]
+            unknown = unknown[~hit]
+        return unknown
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Where checkpoints go if the session names no folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: most rows of texts that a Python worker gets at once: numpy holds several words per byte of them
+BATCH_ROWS = 500
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -21,8 +23,8 @@ def ship(spark: SparkSession) -> SparkSession:
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _ROOT not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, path) if x)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 

@@ -31,8 +31,10 @@ PERCENT = 75
 #: counters of the token counts; each input task writes so many, compressed
 WIDTH = 1 << 20
 SLABS = 64
-#: members up to which all pairs of an index key are candidates at once; larger keys go by centres first
-SMALL = 12
+#: members up to which all pairs of an index key are candidates at once; in larger keys, members first pair with a centre
+SMALL = 2
+#: keys of more members than this deal their centres by CENTRES salts
+LARGE = 64
 CENTRES = 4
 #: sets of a class below this size have too few tokens for pairs of them: frequent ones are indexed singly
 TINY = 8
@@ -195,7 +197,7 @@ def index(docs: DataFrame, slots: np.ndarray, k: int, percent: int) -> DataFrame
                 sid = set_id(s)
                 if sid in seen:
                     continue
-                if len(seen) < 1 << 20:
+                if len(seen) < 1 << 17:
                     seen.add(sid)
                 keys.append(index_keys(s, frequent[(s & U64(width - 1)).astype(np.int64)], percent))
                 sids.append(sid)
@@ -217,7 +219,9 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     by = Window.partitionBy("key")
     once = rows.withColumn("before", F.lag("sid").over(by.orderBy("sid"))).where(F.col("before").isNull() | (F.col("before") != F.col("sid")))
     salted = F.struct(F.xxhash64("sid", F.pmod("key", F.lit(CENTRES))).alias("h"), "sid")
-    return once.select("key", "sid", F.count("*").over(by).alias("members"), F.min(salted).over(by)["sid"].alias("centre")).where("members > 1")
+    members = F.count("*").over(by)
+    centre = F.when(members > LARGE, F.min(salted).over(by)["sid"]).otherwise(F.min("sid").over(by))
+    return once.select("key", "sid", members.alias("members"), centre.alias("centre")).where("members > 1")
 
 
 def _ordered(a: str, b: str) -> list:
@@ -254,8 +258,11 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def whole_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """sid and all tokens of the needed sets. needed: __rid (the id of a document that has it) and sid."""
+def whole_sets(docs: DataFrame, needed: DataFrame, k: int, full: bool) -> DataFrame:
+    """sid and all tokens of the needed sets, or the upper half of each token. needed: __rid (the id of a document that has it) and sid.
+
+    Left partitioned by sid, for the joins that follow.
+    """
     small = needed.count() <= BROADCAST_IDS
     want = F.broadcast(needed) if small else needed
     rows = docs.join(want, docs["__id"].eqNullSafe(want["__rid"]))
@@ -263,30 +270,36 @@ def whole_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [(i, s) for i, s in zip(b.column(1).to_pylist(), token_sets(b.column(0), k)) if len(s) and set_id(s) == i]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array([s.tobytes() for _, s in kept], pa.binary())], ["sid", "tokens"])
+            raw = [s.tobytes() if full else (s >> U64(32)).astype(np.uint32).tobytes() for _, s in kept]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array(raw, pa.binary())], ["sid", "tokens"])
 
     return rows.select("__text", "sid").mapInArrow(run, "sid long, tokens binary").dropDuplicates(["sid"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets have 100 * intersection >= percent * union."""
+def verdict(s: np.ndarray, t: np.ndarray, percent: int) -> bool | None:
+    """Whether 100 * |s and t| >= percent * |s or t|. Of half tokens a few may agree by chance: None where that could decide."""
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    most = int(np.count_nonzero(t[at] == s))
+    least = most if s.dtype == U64 else max(0, most - 4 - (len(s) * len(t) >> 28))
+    holds = lambda common: 100 * common >= percent * (len(s) + len(t) - common)
+    return True if holds(least) else None if holds(most) else False
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, full: bool) -> DataFrame:
+    """a, b, link of each pair; link is null where half tokens don't tell. One shuffle of the sets serves both joins."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("tokens").alias(f"t{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = U64 if full else np.uint32
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                s, t = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                at[at == len(t)] = 0
-                common = int(np.count_nonzero(t[at] == s))
-                keep[i] = 100 * common >= percent * (len(s) + len(t) - common)
-            yield b.select([0, 1]).filter(pa.array(keep))
+            out = [verdict(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind), percent) for x, y in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "link"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, link boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -340,8 +353,7 @@ def jaccard_join(df: DataFrame, text: str = "text", id: str = "doc_id", k: int =
     rows = described.where("slab IS NULL")
     sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.max("n").alias("n"), F.any_value("sig").alias("sig"), F.min("__id").alias("__rid"))
     sets = stored(sets, "sets")
-    with arrow_rows(spark, 2000):
-        shared = stored(shared_keys(index(docs, slots, k, percent)), "shared")
+    shared = stored(shared_keys(index(docs, slots, k, percent)), "shared")
     tried = stored(candidates(shared), "tried")
     links = _links(docs, tried, sets, k, percent)
     labels = components(links)
@@ -356,7 +368,14 @@ def jaccard_join(df: DataFrame, text: str = "text", id: str = "doc_id", k: int =
 
 
 def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    left = stored(possible(pairs, sets, percent), "possible")
-    ids = left.select(F.col("a").alias("sid")).unionByName(left.select(F.col("b").alias("sid"))).distinct()
-    needed = stored(sets.select("sid", "__rid").join(ids, "sid", "left_semi"), "needed")
-    return stored(verified(left, stored(whole_sets(docs, needed, k), "tokens"), percent), "links")
+    """The pairs that link: by half tokens first, those that these leave open by whole ones."""
+
+    def check(pairs: DataFrame, full: bool) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        needed = stored(sets.select("sid", "__rid").join(ids, "sid", "left_semi"), "needed")
+        return stored(verified(pairs, whole_sets(docs, needed, k, full), percent, full), "checked")
+
+    first = check(stored(possible(pairs, sets, percent), "possible"), False)
+    unsure = first.where("link IS NULL").select("a", "b")
+    links = first.where("link").select("a", "b")
+    return links if unsure.isEmpty() else links.unionByName(check(unsure, True).where("link").select("a", "b"))

@@ -65,7 +65,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, text: str = "text", i
     rows = docs.select(F.col(id).alias("__id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
     if quality is not None:
         q = quality.groupBy(F.col(id).alias("__qid")).agg(F.avg("quality").alias("q"))
-        rows = rows.join(q, F.col("__id") == F.col("__qid"), "left").withColumn("weight", F.coalesce(F.greatest(F.lit(0.0), F.col("q")) + 0.5, F.lit(1.0))).drop("__qid", "q")
+        rows = rows.join(q, F.col("__id") == F.col("__qid"), "left").withColumn("weight", F.when(F.col("q").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.col("q")) + 0.5)).drop("__qid", "q")
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
     rows = stored(rows, "sizes")

@@ -21,7 +21,7 @@ def _tables(key: str, raw) -> dict:
     """The parsed file and the memos of this worker process, kept over tasks."""
     if _state.get("key") != key:
         _state.clear()
-        _state.update(key=key, tables=bpe.Tables(raw.value), counts=bpe.Memo(np.int64), ids=bpe.Memo(object))
+        _state.update(key=key, tables=bpe.Tables(raw.value), counts=bpe.Memo(2 * bpe.MEMO), ids=bpe.Memo())
     return _state
 
 
@@ -54,11 +54,8 @@ def count_batch(state: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros(j - i, np.int64)
         if len(data):
             keys, start, end, word, which, per_doc = bpe.chunks(data, offsets)
-            at, known = memo.find(keys)
             values = np.zeros(len(keys), np.int64)
-            if known.any():
-                values[known] = memo.values[0][at[known]]
-            new = np.flatnonzero(~known)
+            new = memo.fill(keys, (values,))
             if len(new):
                 parts = bpe.Split(tables, data, start[new], end[new], word[new])
                 counts = bpe.RankRounds.count(tables, parts.tokens)
@@ -156,12 +153,8 @@ def digest_batch(state: dict, column: pa.Array) -> tuple[list[int], list[str], l
         odd: dict[int, str] = {}
         if len(data):
             keys, start, end, word, which, per_doc = bpe.chunks(data, offsets)
-            at, known = memo.find(keys)
-            values = [np.zeros(len(keys), np.int64), np.empty(len(keys), object), np.empty(len(keys), object)]
-            if known.any():
-                for v, m in zip(values, memo.values):
-                    v[known] = m[at[known]]
-            new = np.flatnonzero(~known)
+            values = (np.zeros(len(keys), np.int64), np.empty(len(keys), object), np.empty(len(keys), object))
+            new = memo.fill(keys, values)
             if len(new):
                 fresh = _rendered(state, data, start[new], end[new], word[new])
                 for v, f in zip(values, fresh):

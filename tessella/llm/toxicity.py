@@ -17,8 +17,10 @@ from tessella.llm.ragged import NOT_ALNUM, U64, buffers, lower_ascii, mix64, pre
 #: bytes of the word beginnings that are features beside whole words
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: most labelled documents that the chain is trained on; they come to the driver
-SAMPLE = 6000
-FEATURES = 2000
+SAMPLE = 4000
+FEATURES = 500
+#: texts whose features are held at a time
+PART = 250
 FOLDS = 5
 CHAIN = ("abusive", "severe", "toxic")
 THRESHOLD = 0.5
@@ -41,6 +43,16 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(found), counts
 
 
+def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs."""
+    doc, f, _ = features(pa.array(texts, pa.string()))
+    order = np.lexsort((f, doc))
+    doc, f = doc[order], f[order]
+    new = np.ones(len(f), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (f[1:] != f[:-1])
+    return doc[new], f[new]
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -48,23 +60,24 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 200) -> np.ndarray:
     """Weights (the last is the intercept) of an L2-penalised logistic model, by accelerated gradient steps."""
     n = len(y)
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     if n == 0 or y.min() == y.max():
         w[-1] = 20.0 if n and y[0] else -20.0
         return w
-    a = np.hstack([x, np.ones((n, 1))])
-    v = np.ones(a.shape[1])
+    a = np.hstack([x, np.ones((n, 1), np.float32)])
+    v = np.ones(a.shape[1], np.float32)
     for _ in range(20):  # the largest eigenvalue bounds the step
         v = a.T @ (a @ v)
         v /= np.linalg.norm(v)
-    step = 1 / (0.25 * np.linalg.norm(a @ v) ** 2 + penalty)
-    reg = np.full(len(w), penalty)
+    step = np.float32(1 / (0.25 * np.linalg.norm(a @ v) ** 2 + penalty))
+    y = y.astype(np.float32)
+    reg = np.full(len(w), penalty, np.float32)
     reg[-1] = 0
     z, t = w.copy(), 1.0
     for _ in range(steps):
         new = z - step * (a.T @ (_sigmoid(a @ z) - y) + reg * z)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, w, t = new + (t - 1) / t2 * (new - w), new, t2
+        z, w, t = new + np.float32((t - 1) / t2) * (new - w), new, t2
     return w
 
 
@@ -100,7 +113,8 @@ class Chain:
 
 def _different(texts: list[str]) -> list[int]:
     """Texts that aren't near copies of an earlier one: copies would make chance words look telling."""
-    marks = sketches(OnePermutation(8, 8), pa.array(texts, pa.string()))
+    family = OnePermutation(8, 8)
+    marks = [m for i in range(0, len(texts), PART) for m in sketches(family, pa.array(texts[i : i + PART], pa.string()))]
     seen: dict[tuple[int, int], set[int]] = {}
     out = []
     for i, m in enumerate(marks):
@@ -125,18 +139,27 @@ def fit(texts: list[str], toxic: np.ndarray, folds: int = FOLDS, most: int = FEA
     chosen = _different(texts)
     texts, toxic = [texts[i] for i in chosen], np.asarray(toxic, float)[chosen]
     n = len(texts)
-    doc, f, counts = features(pa.array(texts, pa.string()))
-    names, place = np.unique(f, return_inverse=True)
-    pairs = np.unique(doc * max(1, len(names)) + place)
-    doc, place = pairs // max(1, len(names)), pairs % max(1, len(names))
-    bad = np.bincount(place, toxic[doc], len(names))
-    all_ = np.bincount(place, minlength=len(names))
-    share = bad / np.maximum(all_, 1)
-    telling = np.flatnonzero((bad >= max(CUE_TEXTS, CUE_PART * toxic.sum())) & (share >= CUE_SHARE))
+    least = max(CUE_TEXTS, CUE_PART * toxic.sum())
+    # only features of enough toxic texts can be cues; all texts are then read for those, in parts, to keep memory small
+    of_toxic = [t for t, y in zip(texts, toxic) if y]
+    f = np.concatenate([_distinct(of_toxic[i : i + PART])[1] for i in range(0, len(of_toxic), PART)] or [np.zeros(0, U64)])
+    names, bad = np.unique(f, return_counts=True)
+    names, bad = names[bad >= least], bad[bad >= least]
+    pairs, counts = [], []
+    for i in range(0, n, PART):
+        doc, f = _distinct(texts[i : i + PART])
+        at = np.minimum(np.searchsorted(names, f), max(0, len(names) - 1))
+        hit = names[at] == f if len(names) else np.zeros(len(f), bool)
+        pairs.append((doc[hit] + i, at[hit]))
+        counts.append(features(pa.array(texts[i : i + PART], pa.string()))[2])
+    doc, place = (np.concatenate([p[k] for p in pairs] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    counts = np.concatenate(counts or [np.zeros(0, np.int64)])
+    share = bad / np.maximum(np.bincount(place, minlength=len(names)), 1)
+    telling = np.flatnonzero(share >= CUE_SHARE)
     telling = np.sort(telling[np.argsort(-bad[telling] * share[telling], kind="stable")[:most]])
     column = np.full(len(names), -1)
     column[telling] = np.arange(len(telling))
-    x = np.zeros((n, len(telling)))
+    x = np.zeros((n, len(telling)), np.float32)
     has = column[place] >= 0
     x[doc[has], column[place[has]]] = 1
     cues = x.sum(1)
@@ -153,7 +176,7 @@ def fit(texts: list[str], toxic: np.ndarray, folds: int = FOLDS, most: int = FEA
         for k in range(folds):
             w = fit_linear(known[fold != k], y[fold != k])
             held_out[fold == k] = _sigmoid(known[fold == k] @ w[:-1] + w[-1])
-        known = np.hstack([known, held_out[:, None]])
+        known = np.hstack([known, held_out[:, None].astype(np.float32)])
     return Chain(CHAIN, names[telling], models)
 
 
