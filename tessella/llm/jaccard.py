@@ -38,6 +38,8 @@ LARGE = 64
 CENTRES = 4
 #: sets of a class below this size have too few tokens for pairs of them: frequent ones are indexed singly
 TINY = 8
+#: members of a block of a cluster whose sets are compared with each other
+BLOCK_SETS = 2048
 #: bytes of the histogram that bounds an overlap from above
 SIGNATURE = 256
 #: most candidate documents whose ids are broadcast rather than joined
@@ -317,23 +319,74 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("sid", "comp")
 
 
-def open_pairs(shared: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of large keys whose two sets are in different components and haven't been tried: exhaustive.
+def open_members(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """sid and comp of the members of keys that still have several components, with cluster and its size.
 
-    All members of a key outside its largest component, with every member of another component.
+    A cluster is what such keys connect, linked or not: pairs that can still link are of one cluster.
     """
-    big = shared.where(F.col("members") > SMALL).select("key", "sid").join(labels, "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
+    big = shared.where(F.col("members") > SMALL).select("key", "sid", "centre").join(labels, "sid", "left").select("key", "sid", "centre", F.coalesce("comp", "sid").alias("comp"))
     split = big.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = stored(big.join(split, "key", "left_semi"), "open")
-    if rows.isEmpty():
-        return rows.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
-    parts = rows.groupBy("key", "comp").count()
-    main = parts.groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-    rows = rows.join(main, "key")
-    left = rows.where("comp != main").select("key", "sid", "comp")
-    right = rows.select("key", F.col("sid").alias("other"), F.col("comp").alias("c2"), "main")
-    pairs = left.join(right, "key").where("comp != c2 AND (c2 = main OR sid < other)").select(*_ordered("sid", "other")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    rows = stored(big.join(split, "key", "left_semi").select("sid", "comp", "centre").distinct(), "open")
+    edges = rows.where("sid != centre").select(*_ordered("sid", "centre")).distinct()
+    if edges.isEmpty():
+        return rows.select("sid", "comp", F.col("sid").alias("cluster"), F.lit(1).cast("long").alias("size"))
+    clusters = components(edges).withColumnRenamed("comp", "cluster")
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    return stored(rows.select("sid", "comp").distinct().join(clusters, "sid").join(size, "cluster"), "clusters")
+
+
+def compare(sids: list[int], comps: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int, bool | None]]:
+    """Links that join components of a block, or of two blocks (side tells which), and pairs that half tokens leave open.
+
+    Sizes and histograms rule most pairs out, many at a time; members of a component that a link has joined aren't compared again.
+    """
+    n = np.array([len(s) for s in sets])
+    marks = np.zeros((len(sets), SIGNATURE), np.uint16)
+    for i, s in enumerate(sets):
+        np.minimum(np.bincount(s.astype(np.int64) % SIGNATURE, minlength=SIGNATURE), 65535, out=marks[i], casting="unsafe")
+    root = np.unique(comps, return_inverse=True)[1]
+    out: list[tuple[int, int, bool | None]] = []
+    for i in range(len(sets)):
+        other = np.arange(i + 1, len(sets)) if side is None else np.flatnonzero(side > side[i])
+        other = other[(root[other] != root[i]) & (np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * percent)]
+        if not len(other):
+            continue
+        most = np.minimum(marks[other], marks[i]).sum(1, dtype=np.int64)
+        keep = 100 * most >= percent * (n[other] + n[i] - most)
+        other = other[keep][np.argsort(-most[keep], kind="stable")]
+        for j in other.tolist():
+            if root[j] == root[i]:
+                continue
+            link = verdict(sets[i], sets[j], percent)
+            if link is not False:
+                out.append((*sorted((sids[i], sids[j])), link))
+            if link:
+                root[root == root[j]] = root[i]
+    return out
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, link of clusters' members, compared block with block. A block has about BLOCK_SETS members, so a task's memory is bounded.
+
+    Every member goes to as many tasks as its cluster has blocks; within a task nothing is emitted but links and open pairs.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK_SETS).cast("int")
+    own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
+    rows = members.join(sets, "sid").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sid", "comp", "tokens")
+
+    def run(table: pa.Table) -> pa.Table:
+        # a fixed order, as rows arrive in any
+        order = np.argsort(table.column("sid").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        sets_ = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("tokens")]
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        side = None if lo == hi else (table.column("own").to_numpy() == hi).astype(np.int8)
+        found = compare(table.column("sid").to_pylist(), table.column("comp").to_numpy(), sets_, side, percent)
+        a, b, link = zip(*found) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "link": pa.array(link, pa.bool_())})
+
+    return rows.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long, link boolean")
 
 
 def jaccard_join(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -357,9 +410,10 @@ def jaccard_join(df: DataFrame, text: str = "text", id: str = "doc_id", k: int =
     tried = stored(candidates(shared), "tried")
     links = _links(docs, tried, sets, k, percent)
     labels = components(links)
-    more = stored(open_pairs(shared, labels, tried), "more")
-    if not more.isEmpty():
-        labels = components(links.unionByName(_links(docs, more, sets, k, percent)))
+    members = open_members(shared, labels)
+    if not members.isEmpty():
+        more = stored(block_links(members, whole_sets(docs, _needed(sets, members), k, False), percent), "blocks")
+        labels = components(links.unionByName(_settled(docs, more, sets, k, percent)))
     known = sets.select("sid", "__rid").join(labels, "sid", "left").select("sid", "__rid", F.coalesce("comp", "sid").alias("comp"))
     least = known.groupBy("comp").agg(F.min("__rid").alias("component_id"))
     of_set = known.join(least, "comp").select("sid", "component_id")
@@ -367,15 +421,22 @@ def jaccard_join(df: DataFrame, text: str = "text", id: str = "doc_id", k: int =
     return out.select(F.col("__id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that link: by half tokens first, those that these leave open by whole ones."""
+def _needed(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    return stored(sets.select("sid", "__rid").join(ids.select("sid").distinct(), "sid", "left_semi"), "needed")
+
+
+def _check(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, percent: int, full: bool) -> DataFrame:
+    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+    return stored(verified(pairs, whole_sets(docs, _needed(sets, ids), k, full), percent, full), "checked")
 
-    def check(pairs: DataFrame, full: bool) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        needed = stored(sets.select("sid", "__rid").join(ids, "sid", "left_semi"), "needed")
-        return stored(verified(pairs, whole_sets(docs, needed, k, full), percent, full), "checked")
 
-    first = check(stored(possible(pairs, sets, percent), "possible"), False)
-    unsure = first.where("link IS NULL").select("a", "b")
-    links = first.where("link").select("a", "b")
-    return links if unsure.isEmpty() else links.unionByName(check(unsure, True).where("link").select("a", "b"))
+def _settled(docs: DataFrame, checked: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links among checked pairs; those that half tokens leave open are checked by whole ones."""
+    unsure = checked.where("link IS NULL").select("a", "b").distinct()
+    links = checked.where("link").select("a", "b")
+    return links if unsure.isEmpty() else links.unionByName(_check(docs, unsure, sets, k, percent, True).where("link").select("a", "b"))
+
+
+def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link."""
+    return _settled(docs, _check(docs, stored(possible(pairs, sets, percent), "possible"), sets, k, percent, False), sets, k, percent)
