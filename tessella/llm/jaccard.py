@@ -33,7 +33,7 @@ WIDTH = 1 << 20
 SLABS = 64
 #: members up to which all pairs of an index key are candidates at once; in larger keys, members first pair with a centre
 SMALL = 2
-#: keys of more members than this deal their centres by CENTRES salts
+#: keys of more members than this deal their centres by CENTRES salts, and are completed by blocks rather than by pairs
 LARGE = 64
 CENTRES = 4
 #: sets of a class below this size have too few tokens for pairs of them: frequent ones are indexed singly
@@ -319,12 +319,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("sid", "comp")
 
 
+def open_pairs(shared: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs of keys of up to LARGE members whose two sets are in different components and haven't been tried: exhaustive.
+
+    All members of a key outside its largest component, with every member of another component.
+    """
+    big = shared.where(F.col("members").between(SMALL + 1, LARGE)).select("key", "sid").join(labels, "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
+    split = big.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rows = stored(big.join(split, "key", "left_semi"), "open")
+    if rows.isEmpty():
+        return rows.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
+    parts = rows.groupBy("key", "comp").count()
+    main = parts.groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
+    rows = rows.join(main, "key")
+    left = rows.where("comp != main").select("key", "sid", "comp")
+    right = rows.select("key", F.col("sid").alias("other"), F.col("comp").alias("c2"), "main")
+    pairs = left.join(right, "key").where("comp != c2 AND (c2 = main OR sid < other)").select(*_ordered("sid", "other")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
+
+
 def open_members(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """sid and comp of the members of keys that still have several components, with cluster and its size.
+    """sid and comp of the members of keys of more than LARGE members that still have several components, with cluster and its size.
 
     A cluster is what such keys connect, linked or not: pairs that can still link are of one cluster.
     """
-    big = shared.where(F.col("members") > SMALL).select("key", "sid", "centre").join(labels, "sid", "left").select("key", "sid", "centre", F.coalesce("comp", "sid").alias("comp"))
+    big = shared.where(F.col("members") > LARGE).select("key", "sid", "centre").join(labels, "sid", "left").select("key", "sid", "centre", F.coalesce("comp", "sid").alias("comp"))
     split = big.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rows = stored(big.join(split, "key", "left_semi").select("sid", "comp", "centre").distinct(), "open")
     edges = rows.where("sid != centre").select(*_ordered("sid", "centre")).distinct()
@@ -410,6 +429,10 @@ def jaccard_join(df: DataFrame, text: str = "text", id: str = "doc_id", k: int =
     tried = stored(candidates(shared), "tried")
     links = _links(docs, tried, sets, k, percent)
     labels = components(links)
+    more = stored(open_pairs(shared, labels, tried), "more")
+    if not more.isEmpty():
+        links = stored(links.unionByName(_links(docs, more, sets, k, percent)), "links")
+        labels = components(links)
     members = open_members(shared, labels)
     if not members.isEmpty():
         more = stored(block_links(members, whole_sets(docs, _needed(sets, members), k, False), percent), "blocks")
