@@ -17,8 +17,8 @@ from tessella.llm.ragged import NOT_ALNUM, U64, buffers, lower_ascii, mix64, pre
 #: bytes of the word beginnings that are features beside whole words
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: most labelled documents that the chain is trained on; they come to the driver
-SAMPLE = 4000
-FEATURES = 500
+SAMPLE = 6000
+FEATURES = 2000
 #: texts whose features are held at a time
 PART = 250
 FOLDS = 5
