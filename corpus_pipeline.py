@@ -1,7 +1,7 @@
 """A corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents.
 
 Each stage works on all documents that its predecessor kept. All but the last return the columns of
-`documents`; quality and toxicity drop what they reject, near duplicates keep the least id of each
+`documents`; quality and toxicity drop what they reject, near duplicates keep one row of each
 group, mixing drops documents that the mix doesn't take and repeats those that it takes twice.
 """
 
@@ -15,6 +15,7 @@ from tessella.llm import jaccard, mixing, quality, tokens, toxicity
 from tessella.llm.common import documents, stored
 
 TOKENIZER = "byte_bpe_50k.json"
+ROW = "__row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +28,23 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.toxicity(docs, documents(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where(~F.col("is_toxic")).select(*docs.columns)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with a unique key a row, written before anything joins on it, so that it can't change when a part is computed again."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that of the least id. Documents without an id stay."""
-    classes = jaccard.jaccard_join(docs)
-    gone = classes.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of similar texts: that of the least id, null ids last; of equal ids, any one row.
+
+    Rows are told apart by a key of their own, so repeated and null ids lose and keep no row that they shouldn't.
+    """
+    docs = with_row_key(docs)
+    classes = jaccard.jaccard_join(docs, id=ROW).withColumnRenamed("component_id", "__component")
+    ids = docs.select(ROW, "doc_id").join(classes.where("n_shingles > 0"), ROW)
+    # unique keys make groups of one row: only groups of more have rows to drop
+    least = ids.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("__kept"), F.count("*").alias("__size")).where("__size > 1")
+    gone = ids.join(least, "__component").where(F.col(ROW) != F.col("__kept")).select(ROW)
+    return docs.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

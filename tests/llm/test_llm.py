@@ -364,3 +364,17 @@ def test_pipeline(spark, sf):
             texts = {r.doc_id: r.text for r in docs.collect()}
             assert all(d == c for d, (_, c) in brute_components(texts).items())
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, sf):
+    """Copies without an id, repeated rows, and an id that stands on a copy and on a text of its own."""
+    import corpus_pipeline
+
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    near = text("a").replace("a39", "other")
+    rows = [(5, text("a")), (None, text("a")), (None, near), (5, text("a")), (3, near), (3, near), (7, text("b")), (7, text("c")), (2, text("c")), (None, text("d")), (None, text("d")), (None, text("e")), (9, None), (None, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", None, 1) for d, t in rows], DOCS).repartition(4)
+    got = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    want = [(3, near), (7, text("b")), (2, text("c")), (None, text("d")), (None, text("e")), (9, None), (None, None), (9, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
