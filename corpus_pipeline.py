@@ -48,10 +48,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    plan = mixing.mix(docs, documents(spark, sf_dir, "labels")).where("n_copies > 0").select(F.col("doc_id").alias("__taken"), "n_copies")
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__taken")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select(*docs.columns)
+    """Documents as often as the mix takes them, row by row."""
+    docs = with_row_key(docs)
+    plan = mixing.mix(docs, documents(spark, sf_dir, "labels"), row=ROW).where("n_copies > 0").select(ROW, F.col("n_copies").alias("__copies"))
+    taken = docs.join(plan, ROW)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop(ROW, "__copies", "__copy")
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

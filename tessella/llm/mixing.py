@@ -49,27 +49,34 @@ def uniform(*keys: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, text: str = "text", id: str = "doc_id", source: str = "source", share: float = SHARE, cap: int = MOST_EPOCHS, seed: str = "mix", bins: int = BINS) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, text: str = "text", id: str = "doc_id", source: str = "source", share: float = SHARE, cap: int = MOST_EPOCHS, seed: str = "mix", bins: int = BINS, row: str | None = None) -> DataFrame:
     """How many words of each document a mix of the sources takes: id, size, source_size, target, taken, and n_copies.
 
     Efraimidis-Spirakis: documents of a source are sorted by -ln(u) / weight and taken until the source's
     budget is full. Whole epochs of a source come first: every document as often as the source fits into the
     target; the remainder is sampled. The document on the edge is taken if that comes nearer to the target.
     `quality` gives (id, quality) rows; the weight is 0.5 + their mean quality, 1 without any. u comes
-    from a hash of seed, id and, for repeated ids, a count, so reruns agree.
+    from a hash of seed, id and, for repeated ids, a count (of null ids also a hash of the text), so reruns agree and rows of
+    one id stand or fall each on its own. `row` names a column with a unique key a row, which the result then has
+    too, last: with repeated or null ids, only that key tells which row of docs a result belongs to.
 
     Sorted prefix sums without one task per source: keys fall into `bins` bins by size; sums per source and
     bin find the bin where the budget ends, and only that bin's documents are sorted one by one. Null texts
     have size 0; a null source is a source, sorted last; size 0 is taken 0 times. Other columns are dropped.
     """
-    rows = docs.select(F.col(id).alias("__id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
+    own = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(F.col(id).alias("__id"), own.alias("__row"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("__hash"))
     if quality is not None:
         q = quality.groupBy(F.col(id).alias("__qid")).agg(F.avg("quality").alias("q"))
         rows = rows.join(q, F.col("__id") == F.col("__qid"), "left").withColumn("weight", F.when(F.col("q").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.col("q")) + 0.5)).drop("__qid", "q")
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
-    rows = stored(rows, "sizes")
-    key = -F.log(uniform(F.lit(seed), F.col("__id"))) / F.col("weight")
+    # null ids are counted by text, so that their rows don't all meet in one task
+    null = F.col("__id").isNull()
+    same = Window.partitionBy("__id", F.when(null, F.col("__hash"))).orderBy("__hash", F.col("source").asc_nulls_last(), "__row")
+    rows = stored(rows.withColumn("__nth", F.row_number().over(same)), "sizes")
+    u = F.when(null, uniform(F.lit(seed), F.col("__id"), F.col("__hash"), F.col("__nth"))).when(F.col("__nth") == 1, uniform(F.lit(seed), F.col("__id"))).otherwise(uniform(F.lit(seed), F.col("__id"), F.col("__nth")))
+    key = -F.log(u) / F.col("weight")
     # exponential keys: 1 - exp(-key) is near to uniform, so bins are near to equal
     keyed = rows.withColumn("key", key).withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("int"))
     by_bin = stored(keyed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
@@ -81,11 +88,11 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, text: str = "text", i
     both = edges.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("p.*", "b.bin", "b.below", "b.bin_size")
     keyed = keyed.alias("k").join(both.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source")) & (F.col("k.bin") == F.col("p.bin"))).select("k.*", "p.source_size", "p.target", "p.epochs", "p.budget", "p.below", "p.bin_size")
     edge = (F.col("below") < F.col("budget")) & (F.col("below") + F.col("bin_size") > F.col("budget"))
-    at_edge = Window.partitionBy("source", "bin").orderBy("key", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at_edge = Window.partitionBy("source", "bin").orderBy("key", "__id", "size", "__row").rowsBetween(Window.unboundedPreceding, -1)
     inside, rest = keyed.where(edge), keyed.where(~edge)
     before = F.col("below") + F.coalesce(F.sum("size").over(at_edge), F.lit(0))
     inside = inside.withColumn("more", (before + F.col("size") / 2 <= F.col("budget")).cast("long"))
     rest = rest.withColumn("more", (F.col("below") + F.col("bin_size") <= F.col("budget")).cast("long"))
     copies = F.when(F.col("size") > 0, F.least(F.col("epochs") + F.col("more"), F.lit(cap))).otherwise(F.lit(0)).cast("long")
     out = inside.unionByName(rest).withColumn("n_copies", copies)
-    return out.select(F.col("__id").alias(id), "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies")
+    return out.select(F.col("__id").alias(id), "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies", *([] if row is None else [F.col("__row").alias(row)]))

@@ -378,3 +378,31 @@ def test_near_duplicates_of_null_and_repeated_ids(spark, sf):
     assert got.columns == docs.columns
     want = [(3, near), (7, text("b")), (2, text("c")), (None, text("d")), (None, text("e")), (9, None), (None, None), (9, "")]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_mixing_of_null_and_repeated_ids(spark, sf):
+    """Rows of one id are taken each on its own, and the pipeline's stage takes what the plan says."""
+    import corpus_pipeline
+
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "w " * (1 + i % 9) + str(i // 6), None, "st"[i % 2], 1) for i in range(900)] + [(None, "same", None, "s", 1)] * 60
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    size = {s: sum(len(words(r[1])) for r in rows if r[3] == s) for s in "st"}
+    plan = mixing.mix(docs, share=0.6, cap=1).collect()
+    taken = collections.Counter()
+    for r in plan:
+        taken[r.source_size] += r.taken
+    assert len(plan) == len(rows) and len(size) == len(set(size.values())) == len(taken)
+    for r in plan:
+        assert abs(taken[r.source_size] - r.target) <= 10
+    seven = [r.taken > 0 for r in plan if r.doc_id == 7]
+    assert 0.2 < sum(seven) / len(seven) < 0.9
+    assert sorted(map(repr, plan)) == sorted(map(repr, mixing.mix(docs.repartition(5), share=0.6, cap=1).collect()))
+    keyed = mixing.mix(docs.selectExpr("*", "uuid() AS k").localCheckpoint(), row="k")
+    assert keyed.columns[-1] == "k" and keyed.select("k").distinct().count() == len(rows)
+    got = corpus_pipeline.mix_sources(spark, docs, sf)
+    assert got.columns == docs.columns
+    got = got.collect()
+    times = collections.Counter((r.doc_id, r.text, r.source) for r in got)
+    have = collections.Counter((r[0], r[1], r[3]) for r in rows)
+    assert all(n <= 2 * have[x] for x, n in times.items())
+    assert abs(sum(len(words(r.text)) for r in got) - 1.5 * sum(size.values())) <= 20
