@@ -394,8 +394,10 @@ def test_mixing_of_null_and_repeated_ids(spark, sf):
     assert len(plan) == len(rows) and len(size) == len(set(size.values())) == len(taken)
     for r in plan:
         assert abs(taken[r.source_size] - r.target) <= 10
-    seven = [r.taken > 0 for r in plan if r.doc_id == 7]
-    assert 0.2 < sum(seven) / len(seven) < 0.9
+    for n in taken:
+        for d in (7, None):
+            mine = [r.taken > 0 for r in plan if (r.doc_id, r.source_size) == (d, n)]
+            assert 0 < sum(mine) < len(mine)
     assert sorted(map(repr, plan)) == sorted(map(repr, mixing.mix(docs.repartition(5), share=0.6, cap=1).collect()))
     keyed = mixing.mix(docs.selectExpr("*", "uuid() AS k").localCheckpoint(), row="k")
     assert keyed.columns[-1] == "k" and keyed.select("k").distinct().count() == len(rows)
@@ -406,3 +408,19 @@ def test_mixing_of_null_and_repeated_ids(spark, sf):
     have = collections.Counter((r[0], r[1], r[3]) for r in rows)
     assert all(n <= 2 * have[x] for x, n in times.items())
     assert abs(sum(len(words(r.text)) for r in got) - 1.5 * sum(size.values())) <= 20
+
+
+def test_compression_bands_find_noise_beside_prose(spark, sf):
+    """Base64 after as much prose, in tails, in short texts and alone; the corpus' own texts of enough words stay."""
+    import base64
+
+    rng = np.random.default_rng(6)
+    noise = lambda n: base64.b64encode(rng.integers(0, 256, n, np.uint8).tobytes())[:n]
+    judge = quality.CompressionBands()
+    docs = [t.encode() for _, t in documents(spark, sf) if t]
+    prose = max(docs, key=len)
+    assert len(prose) > 16384
+    for n, m in ((16384, 16384), (3500, 3500), (0, 1500), (900, 700), (512, 512), (0, 400), (8192, 4000), (9000, 1100)):
+        assert judge.verdict(prose[:n])[2] and not judge.verdict(prose[:n] + noise(m))[2] and not judge.verdict(noise(m) + prose[:n])[2], (n, m)
+    base = [r for r in Q.op6_quality_rules(spark, sf).collect() if not r.base_failed]
+    assert sum(r.kept for r in base) >= 0.99 * len(base)
