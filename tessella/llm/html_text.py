@@ -23,11 +23,15 @@ RAW = frozenset("script style noscript template textarea svg iframe object selec
 #: what an opening tag closes if it is still open
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 BLOCK_CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
+#: elements whose own text isn't the page's, and what may stand in them; the first other element closes them, as their end tags may be missing
+HEAD = frozenset("head title".split())
+IN_HEAD = HEAD | frozenset("html base basefont bgsound link meta noframes noscript script style template".split())
 
 PATH, WORDS, NUMBERS = 64, 32, 8
 HIDDEN = 16
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
+_AFTER_TITLE = re.compile(r"<(/?title|/head)\b[^>]*>", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -55,6 +59,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []  # open elements, each with the path down to it
     pieces: list[str] = []
     linked = total = anchors = 0
+    head = -1  # where in the stack an open head or title is
 
     def flush() -> None:
         nonlocal linked, total
@@ -88,6 +93,10 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if head >= 0 and (tag == "body" if closing else tag not in IN_HEAD):
+            flush()
+            del stack[head:]
+            head, anchors = -1, 0
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -108,14 +117,21 @@ def blocks(page: str) -> list[Block]:
                     del stack[i:]
                     break
             anchors = 0
+            if len(stack) <= head:
+                head = -1
         elif tag not in VOID:
             closes = CLOSES.get(tag, {"p"} if tag in BLOCK_CLOSES_P else ())
             while stack and stack[-1][0] in closes:
                 stack.pop()
             if not m[3].endswith("/"):
                 stack.append((tag, (stack[-1][1] if stack else ()) + _names(tag, m[3])))
+                if tag in HEAD and head < 0:
+                    head = len(stack) - 1
+                # tags in a title that is closed are its text
+                if tag == "title" and (end := _AFTER_TITLE.search(page, at)) and end[1].lower() == "/title":
+                    at = end.start()
     flush()
-    return [b for b in out if not {"head", "title"} & set(b.path)]
+    return [b for b in out if not HEAD & set(b.path)]
 
 
 _slots: dict[str, int] = {}

@@ -424,3 +424,20 @@ def test_compression_bands_find_noise_beside_prose(spark, sf):
         assert judge.verdict(prose[:n])[2] and not judge.verdict(prose[:n] + noise(m))[2] and not judge.verdict(noise(m) + prose[:n])[2], (n, m)
     base = [r for r in Q.op6_quality_rules(spark, sf).collect() if not r.base_failed]
     assert sum(r.kept for r in base) >= 0.99 * len(base)
+
+
+def test_html_without_end_tags_of_the_head(spark, sf):
+    """</head> and </title> may be missing, and <body> too: the article is the same, and the title isn't in it."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").limit(20).collect()]
+    assert all("</head>" in p and "</title>" in p and "<body" in p for p in pages)
+    texts = lambda p: [b.text for b in html_text.blocks(p)]
+    want = [texts(p) for p in pages]
+    assert all(want)
+    for cut in (r"</head>", r"</title>", r"</title>|</head>", r"</head>|<body[^>]*>", r"</title>|</head>|<body[^>]*>"):
+        assert [texts(re.sub(cut, "", p)) for p in pages] == want
+    bare = [re.sub(r"</title>|</head>", "", p) for p in pages]
+    got = html_text.extract(spark.createDataFrame([(i, None, p) for i, p in enumerate(bare)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r.text for r in got] == [gold(p) for p in pages]
+    assert texts("<head><title>On <p> tags</title><meta charset=x><p>a") == ["a"]
+    assert texts("<title>t<a href=x>b</a> c<div>d</div>") == ["b c", "d"]
+    assert texts("<head><title>t</title><body>a<p class=title id=head>b<svg><title>x</title></svg></body>") == ["a", "b"]
