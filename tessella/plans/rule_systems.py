@@ -79,6 +79,16 @@ def w5_terminations(spark, sf):
     return R.terminations(v, 6, similarity=F.lit(0.0))
 
 
+@query("""WITH v AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS last, lag(turn) OVER (PARTITION BY conv_id, text ORDER BY turn) AS seen FROM conversations),
+p AS (SELECT *, list_distinct(regexp_split_to_array(lower(text), '\\s+')) AS a, list_distinct(regexp_split_to_array(lower(last), '\\s+')) AS b FROM v),
+w AS (SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'correct because|already handles|doesn''t apply because|intentional design choice|justified by') THEN 'DEFENSE' WHEN last IS NOT NULL AND len(list_intersect(a, b)) > 0.95 * len(list_distinct(list_concat(a, b))) THEN 'CONVERGE' WHEN seen < turn - 1 THEN 'CYCLE' WHEN turn >= 6 THEN 'TIMEOUT' END AS reason FROM p)
+SELECT conv_id AS solution_id, min(turn) AS iteration, arg_min(reason, turn) AS reason FROM w WHERE reason IS NOT NULL GROUP BY conv_id""")
+def w5_terminations_whole(spark, sf):
+    """WIN09, GRF10: whole turns, with the operator's own similarity; w5_terminations sees their first characters alone."""
+    v = table(spark, sf, "conversations").select(F.col("conv_id").alias("solution_id"), F.col("turn").alias("iteration"), "text")
+    return R.terminations(v, 6)
+
+
 @query("""SELECT o_custkey, score, CASE WHEN score <= 1 THEN 'A' WHEN score <= 3 THEN 'B' WHEN score <= 5 THEN 'C' ELSE 'D' END AS profile FROM (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) + max(CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 0 END) + max(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END) + max(CASE WHEN o_orderpriority LIKE '1%' THEN 2 ELSE 0 END) + max(CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END) AS score FROM orders GROUP BY o_custkey)""")
 def w5_profile_score(spark, sf):
     """PRJ25."""
@@ -176,6 +186,12 @@ def w5_question_rules(spark, sf):
     return P.question_rules(table(spark, sf, "conversations").select(F.col("conv_id").alias("survey"), F.substring("text", 1, 2).alias("question")), 4, 8)
 
 
+@query("""SELECT conv_id AS survey, CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT lower(trim(text))) AS BIGINT) AS duplicates, count(*) BETWEEN 4 AND 8 AND count(*) = count(DISTINCT lower(trim(text))) AS ok FROM conversations GROUP BY conv_id""")
+def w5_question_rules_whole(spark, sf):
+    """AGG27: whole questions; w5_question_rules compares their first characters alone."""
+    return P.question_rules(table(spark, sf, "conversations").select(F.col("conv_id").alias("survey"), F.col("text").alias("question")), 4, 8)
+
+
 _LINKS = "SELECT DISTINCT unnest(regexp_extract_all(html, '<a href=\"/([^\"]*)\"', 1)) AS target FROM pages"
 
 

@@ -46,3 +46,28 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_rules_over_whole_turns(spark, tmp_path):
+    """Turns that begin alike, a repeated turn, a marker late in a text, and a cycle, against brute force."""
+    long_ = " ".join(f"w{i}" for i in range(60))
+    turns = {1: ["the same start a b", "the same start c d", "the other e f", "the same start g h"], 2: [long_, long_ + " more", "x y z"], 3: ["alpha beta", "gamma delta", "alpha beta"], 4: ["one two", "three four and it already handles this"], 5: [f"turn {i}" for i in range(8)]}
+    rows = [(c, i, "user", t) for c, x in turns.items() for i, t in enumerate(x)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def end(x):
+        for i, t in enumerate(x):
+            a, b = set(t.split()), set(x[i - 1].split()) if i else set()
+            if "already handles" in t:
+                return i, "DEFENSE"
+            if i and len(a & b) / len(a | b) > 0.95:
+                return i, "CONVERGE"
+            if t in x[: max(0, i - 1)]:
+                return i, "CYCLE"
+            if i >= 6:
+                return i, "TIMEOUT"
+
+    got = {r.solution_id: (r.iteration, r.reason) for r in QUERIES["w5_terminations_whole"](spark, tmp_path).collect()}
+    assert got == {c: e for c, x in turns.items() if (e := end(x))} and {e[1] for e in got.values()} == {"DEFENSE", "CONVERGE", "CYCLE", "TIMEOUT"}
+    got = {r.survey: (r.n, r.duplicates, r.ok) for r in QUERIES["w5_question_rules_whole"](spark, tmp_path).collect()}
+    assert got == {c: (len(x), len(x) - len(set(x)), 4 <= len(x) <= 8 and len(x) == len(set(x))) for c, x in turns.items()}
