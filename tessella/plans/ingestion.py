@@ -151,6 +151,13 @@ def w1_subtitle_companions(spark, sf):
     return I.companions(side(0, 60), side(1, 50))
 
 
+@query("""SELECT DISTINCT a.source AS dir, a.text AS video, b.text AS subtitle FROM documents a JOIN documents b ON a.source = b.source AND (a.text = b.text OR starts_with(b.text, substr(a.text, 1, 40)))""")
+def w1_subtitle_companions_whole(spark, sf):
+    """SRC22: every document is a video and a subtitle, and its whole text the stem."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("dir"), F.col("text").alias("stem"))
+    return I.companions(d, d)
+
+
 @query("""SELECT d.doc_id AS video FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
 def w1_missing_transcripts(spark, sf):
     """JON11, SRC24."""

@@ -132,6 +132,15 @@ def w4_converter_gaps(spark, sf):
     return gaps.where((F.col("only_in") == "first") & F.col("term").rlike("^[a-z]{4,}$")).groupBy("doc").agg(F.count("*").alias("n"))
 
 
+@query("""WITH a AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '[^\\w]+')) AS term FROM documents), b AS (SELECT DISTINCT item_id AS doc, unnest(regexp_split_to_array(lower(text), '[^\\w]+')) AS term FROM benchmark),
+g AS (SELECT doc, term, 'first' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT doc, term, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a))
+SELECT doc, only_in, CAST(count(*) AS BIGINT) AS n FROM g WHERE term <> '' GROUP BY doc, only_in""")
+def w4_converter_gaps_whole(spark, sf):
+    """JON21: documents and benchmark items stand in for two converters of the files that their ids name; whole tables, whole texts, both directions."""
+    side = lambda name, id: table(spark, sf, name).select(F.col(id).alias("doc"), "text")
+    return C.converter_gaps(side("documents", "doc_id"), side("benchmark", "item_id")).groupBy("doc", "only_in").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS number, 'B' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS id FROM orders""")
 def w4_question_order(spark, sf):
     """WIN11, PRJ47."""

@@ -71,3 +71,19 @@ def test_rules_over_whole_turns(spark, tmp_path):
     assert got == {c: e for c, x in turns.items() if (e := end(x))} and {e[1] for e in got.values()} == {"DEFENSE", "CONVERGE", "CYCLE", "TIMEOUT"}
     got = {r.survey: (r.n, r.duplicates, r.ok) for r in QUERIES["w5_question_rules_whole"](spark, tmp_path).collect()}
     assert got == {c: (len(x), len(x) - len(set(x)), 4 <= len(x) <= 8 and len(x) == len(set(x))) for c, x in turns.items()}
+
+
+def test_whole_tables_on_both_sides(spark, tmp_path):
+    """All languages, ids of equal parity, late differences, and both directions, against brute force."""
+    same = "a beginning of more than forty characters, then "
+    docs = [(0, "Ein Wort hier", None, "s"), (2, same + "x" * 80, "de", "s"), (4, same + "y" * 80, "en", "s"), (6, "Ein Wort", "en", "s"), (8, same + "x" * 80, "en", "t"), (10, "tail " * 100 + "late", "fr", "t"), (12, None, "en", "t")]
+    items = [(0, "ein anderes wort"), (10, "tail"), (99, "only second")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b = ({(i, w) for i, t, *_ in x for w in (t or "").lower().replace(",", " ").split()} for x in (docs, items))
+    want = {(d, s): sum(1 for i, _ in x if i == d) for s, x in (("first", a - b), ("second", b - a)) for d in {i for i, _ in x}}
+    got = {(r.doc, r.only_in): r.n for r in QUERIES["w4_converter_gaps_whole"](spark, tmp_path).collect()}
+    assert got == want and {s for _, s in got} == {"first", "second"}
+    want = {(s, x, y) for _, x, _, s in docs for _, y, _, t in docs if s == t and x and y and (x == y or y.startswith(x[:40]))}
+    got = [tuple(r) for r in QUERIES["w1_subtitle_companions_whole"](spark, tmp_path).select("dir", "video", "subtitle").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and ("s", docs[1][1], docs[2][1]) in want
