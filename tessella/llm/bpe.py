@@ -4,7 +4,7 @@
 encodes with one tournament tree of pair ranks per pre-token. Both see a text as chunks,
 each a run of spaces and line feeds followed by a run of other characters. The pre-token
 pattern never matches across the end of such a run, so a chunk's tokens don't depend on
-its surroundings and are remembered by the chunk's hash, in a bounded memo. Texts with
+its surroundings and are remembered under the chunk's hash, in a bounded memo that compares bytes. Texts with
 other white space or special-token strings are split by the pattern itself.
 """
 
@@ -21,6 +21,8 @@ from tessella.llm.ragged import U64, hashes, separators
 NONE = np.int64(1) << 40
 MEMO = 1 << 18
 TREE_LEAVES = 32
+#: bytes compared at a time
+COMPARED = 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -352,12 +354,13 @@ def pre_tokens(tables: Tables, text: str) -> list[str | int]:
 
 
 class Memo:
-    """Sorted chunk hashes with what each chunk gives. New ones gather in a small table first; when full, all starts anew."""
+    """Sorted chunk hashes with each chunk's bytes and what it gives. New ones gather in small tables first; when full, all starts anew."""
 
     def __init__(self, most: int = MEMO) -> None:
         self.most, self.tables = most, []
 
-    def learn(self, keys: np.ndarray, values: tuple[np.ndarray, ...]) -> None:
+    def learn(self, keys: np.ndarray, raw: np.ndarray, values: tuple[np.ndarray, ...]) -> None:
+        values = (raw, *values)
         size = sum(len(k) for k, _ in self.tables)
         if size + len(keys) > self.most:
             self.tables = []
@@ -367,31 +370,58 @@ class Memo:
         order = np.argsort(keys, kind="stable")
         self.tables.append((keys[order], tuple(v[order] for v in values)))
 
-    def fill(self, keys: np.ndarray, values: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Puts what is known of the keys into values; returns where nothing is known."""
+    def fill(self, keys: np.ndarray, raw: np.ndarray, values: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Puts what is known of the chunks into values; returns where nothing is known. A hash alone doesn't count: the bytes must be equal."""
         unknown = np.arange(len(keys))
-        for k, known in self.tables:
+        for k, (known_raw, *known) in self.tables:
             at = np.minimum(np.searchsorted(k, keys[unknown]), len(k) - 1)
-            hit = k[at] == keys[unknown]
+            hit = (k[at] == keys[unknown]) & (known_raw[at] == raw[unknown])
             for v, x in zip(values, known):
                 v[unknown[hit]] = x[at[hit]]
             unknown = unknown[~hit]
         return unknown
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashes, an example's start and end, whether it is one word, which of them each chunk is, chunks per document).
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the spans from a on equal those from b on, each of its length; in blocks, to bound memory."""
+    out = np.ones(len(a), bool)
+    i, ends = 0, np.cumsum(lengths)
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + COMPARED, "right")))
+        n = lengths[i:j]
+        last = np.cumsum(n)
+        place = np.arange(last[-1]) - np.repeat(last - n, n)
+        unequal = data[np.repeat(a[i:j], n) + place] != data[np.repeat(b[i:j], n) + place]
+        out[i + np.repeat(np.arange(j - i), n)[unequal]] = False
+        i = j
+    return out
+
 
-    One word: letters that chunk_starts() knows, after one space or none; such a chunk is one pre-token.
+class Chunks:
+    """The distinct chunks of some texts, by hash.
+
+    keys: their hashes. start, end, raw: an example of each. word: whether it is one word, letters that chunk_starts()
+    knows after one space or none, which is one pre-token. which: the distinct chunk of each chunk; per_doc: chunks of
+    each document. odd: documents with a chunk that differs from the example of its hash.
     """
-    starts, letter = chunk_starts(data, offsets)
-    ends = np.append(starts[1:], len(data))
-    keys, example, which = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
-    sums = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(letter, out=sums[1:])
-    s, e = starts[example], ends[example]
-    word = sums[e] - sums[s] == e - s - (data[s] == 0x20)
-    return keys, s, e, word & (sums[e] > sums[s]), which, np.diff(np.searchsorted(starts, offsets))
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        starts, letter = chunk_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        self.keys, example, self.which = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        sums = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(letter, out=sums[1:])
+        s, e = self.start, self.end = starts[example], ends[example]
+        word = sums[e] - sums[s] == e - s - (data[s] == 0x20)
+        self.word = word & (sums[e] > sums[s])
+        self.per_doc = np.diff(np.searchsorted(starts, offsets))
+        flat = data.tobytes()
+        self.raw = np.empty(len(s), object)
+        self.raw[:] = [flat[x:y] for x, y in zip(s.tolist(), e.tolist())]
+        size = ends - starts
+        equal = size == (e - s)[self.which]
+        equal[equal] = same_bytes(data, starts[equal], s[self.which[equal]], size[equal])
+        self.odd = np.unique(np.searchsorted(offsets, starts[~equal], "right") - 1)
 
 
 class Split:

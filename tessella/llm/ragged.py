@@ -1,8 +1,8 @@
 """Vectorised text primitives over Arrow string buffers.
 
 A batch of texts is one byte array plus document offsets; words, hashes and shingles are
-numpy arrays over it, so no Python object is made per word. Work goes in blocks of BLOCK
-bytes cut at separators, which keeps memory bounded for very long texts.
+numpy arrays over it, so no Python object is made per word. Hashing goes in blocks of BLOCK
+bytes, or of one span if it is longer.
 """
 
 from __future__ import annotations
@@ -25,29 +25,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-_TAB = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0x2545F4914F6CDD1D
 _SHINGLE_BASE = U64(0x9FB21C651E98DF25)
-
-
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2^64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, BLOCK + 1)
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("up", _BASE), ("down", inverse)):
-                p = np.full(size, base, U64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
+#: key of the span hash
+_KEY = U64(0x2545F4914F6CDD1D)
+_STEP = U64(0x9E3779B97F4A7C15)
+#: which bytes of an eight-byte load belong to a span of so many bytes
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def separators(spec: bytes | range | list[int]) -> np.ndarray:
@@ -106,28 +89,41 @@ def spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.nd
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes, independent of where the span stands."""
-    return prefix_hashes(data, starts, ends, ())[0]
-
+    """64-bit hash of each span's bytes, independent of where the span stands.
 
-def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
-    """hashes() of the spans, and of their first n bytes for each n of lengths (of the whole span if it is shorter)."""
-    cuts = [ends, *(np.minimum(starts + n, ends) for n in lengths)]
-    out = [np.empty(len(starts), U64) for _ in cuts]
+    The sum, over a span's eight-byte pieces, of the piece mixed with a key of its place. No polynomial: strings with
+    a regular structure don't collide but by chance.
+    """
+    out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
         base = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-        stop = ends[j - 1]
-        up, down = _powers.upto(int(stop - base) + 1)
-        sums = np.zeros(int(stop - base) + 1, U64)
-        np.cumsum(_TAB[data[base:stop]] * up[:-1], out=sums[1:])
+        stop = int(ends[i:j].max())
+        padded = np.zeros(stop - base + 8, np.uint8)
+        padded[:-8] = data[base:stop]
+        loads = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
         s = starts[i:j] - base
-        first, turn = sums[s], down[s]
-        for o, cut in zip(out, cuts):
-            o[i:j] = (sums[cut[i:j] - base] - first) * turn
+        size = ends[i:j] - starts[i:j]
+        h = mix64((loads[s] & _MASKS[np.minimum(size, 8)]) ^ _KEY)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            pieces = (size[long] + 7) // 8 - 1
+            last = np.cumsum(pieces)
+            first = last - pieces
+            place = np.arange(1, last[-1] + 1) - np.repeat(first, pieces)
+            left = np.repeat(size[long], pieces) - 8 * place
+            piece = loads[np.repeat(s[long], pieces) + 8 * place] & _MASKS[np.minimum(left, 8)]
+            key = mix64(place.astype(U64) * _STEP + _KEY)
+            h[long] += np.add.reduceat(mix64((piece ^ key) * (key | U64(1))), first)
+        out[i:j] = mix64(h + size.astype(U64) * _STEP)
         i = j
-    return [mix64(o + (cut - starts).astype(U64)) for o, cut in zip(out, cuts)]
+    return out
+
+
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """hashes() of the spans, and of their first n bytes for each n of lengths (of the whole span if it is shorter)."""
+    return [hashes(data, starts, cut) for cut in (ends, *(np.minimum(starts + n, ends) for n in lengths))]
 
 
 def windows(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

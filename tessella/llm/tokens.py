@@ -53,18 +53,18 @@ def count_batch(state: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = data_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i]
         total = np.zeros(j - i, np.int64)
         if len(data):
-            keys, start, end, word, which, per_doc = bpe.chunks(data, offsets)
-            values = np.zeros(len(keys), np.int64)
-            new = memo.fill(keys, (values,))
+            c = bpe.Chunks(data, offsets)
+            values = np.zeros(len(c.keys), np.int64)
+            new = memo.fill(c.keys, c.raw, (values,))
             if len(new):
-                parts = bpe.Split(tables, data, start[new], end[new], word[new])
+                parts = bpe.Split(tables, data, c.start[new], c.end[new], c.word[new])
                 counts = bpe.RankRounds.count(tables, parts.tokens)
                 fresh = np.bincount(parts.owner, counts[parts.token], parts.n).astype(np.int64)
                 values[new] = fresh
-                memo.learn(keys[new], (fresh,))
-            filled = per_doc > 0
-            total[filled] = np.add.reduceat(values[which], (np.cumsum(per_doc) - per_doc)[filled])
-            odd = np.flatnonzero(~bpe.plain(tables, data, offsets))
+                memo.learn(c.keys[new], c.raw[new], (fresh,))
+            filled = c.per_doc > 0
+            total[filled] = np.add.reduceat(values[c.which], (np.cumsum(c.per_doc) - c.per_doc)[filled])
+            odd = np.union1d(np.flatnonzero(~bpe.plain(tables, data, offsets)), c.odd)
             for d, text in zip(odd, _strings(data, offsets, odd)):
                 parts = bpe.pre_tokens(tables, text)
                 plain = [p.encode() for p in parts if isinstance(p, str)]
@@ -152,16 +152,17 @@ def digest_batch(state: dict, column: pa.Array) -> tuple[list[int], list[str], l
         per_doc = np.zeros(j - i, np.int64)
         odd: dict[int, str] = {}
         if len(data):
-            keys, start, end, word, which, per_doc = bpe.chunks(data, offsets)
-            values = (np.zeros(len(keys), np.int64), np.empty(len(keys), object), np.empty(len(keys), object))
-            new = memo.fill(keys, values)
+            c = bpe.Chunks(data, offsets)
+            per_doc = c.per_doc
+            values = (np.zeros(len(c.keys), np.int64), np.empty(len(c.keys), object), np.empty(len(c.keys), object))
+            new = memo.fill(c.keys, c.raw, values)
             if len(new):
-                fresh = _rendered(state, data, start[new], end[new], word[new])
+                fresh = _rendered(state, data, c.start[new], c.end[new], c.word[new])
                 for v, f in zip(values, fresh):
                     v[new] = f
-                memo.learn(keys[new], fresh)
-            n, listed, raw = (v[which] for v in values)
-            where = np.flatnonzero(~bpe.plain(tables, data, offsets))
+                memo.learn(c.keys[new], c.raw[new], fresh)
+            n, listed, raw = (v[c.which] for v in values)
+            where = np.union1d(np.flatnonzero(~bpe.plain(tables, data, offsets)), c.odd)
             odd = dict(zip(where.tolist(), _strings(data, offsets, where)))
         stop = 0
         for d, c in enumerate(per_doc.tolist()):
