@@ -9,29 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Where checkpoints go if the session names no folder, as in tests on one machine.
+#: Where checkpoints go if the session names no folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-#: most rows of texts that a Python worker gets at once: numpy holds several words per byte of them
+#: most rows and bytes of texts that a Python worker gets at once, a longer text alone: numpy holds several words per byte of them
 BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it, and bounds Arrow batches.
 
-    On a cluster whose nodes lack the package, submit it with --py-files instead.
+    Both hold for the session from then on; smaller bounds that it has already stay. On a cluster whose nodes lack the
+    package, submit it with --py-files instead.
     """
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _ROOT not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, path) if x)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one is set only where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return folder or f"file://{LOCAL_CHECKPOINTS}"
+    """The cluster's shared checkpoint folder. A folder of our own is taken only where none is set and Spark runs on one machine."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{LOCAL_CHECKPOINTS}"
+    return folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +48,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessella-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -1,49 +1,59 @@
-"""N-gram Jaccard join (operator 10): token-combination prefixes over five-word shingles, verified exactly.
-
-Tokens are the 64-bit hashes of a document's distinct shingles. All documents order tokens by
-(class, hash), rare ones first. The class comes from counts of all tokens of all documents in an
-array of fixed size; any error there changes the cost, never the result, as the order need only be
-the same for all.
-
-Two sets with Jaccard >= t share a token among the first n - ceil(t n) + 1 of either. If the first token
-they share is rare, the index of single rare tokens finds them. If it is frequent, all their shared tokens
-are, and they share m + 1 of the first n - ceil(t n) + m + 1: dealt into m groups by hash, two of those fall into
-one group, so an index of two-token combinations within groups finds them. m follows the length; sets that
-can match are of the same length class or of neighbouring ones, and meet under the larger.
+"""N-gram Jaccard join (operator 10): token-combination prefixes over five-word shingles, verified by whole sets.
+
+Tokens are hashes of a document's distinct shingles. Equal sets are one set. Every set orders its tokens alike, rarest
+first, and the token universe is dealt into classes by frequency: tokens of one set alone, class 1 (rare, indexed
+singly), class 2 (in PAIRS_FROM sets or more, indexed by pairs) and class 3 (indexed by triples).
+
+Two sets of Jaccard >= t each lack at most tau = n - ceil(t n) of the other's tokens. In a prefix, a class-1 token is
+lost by one of those errors; of class k, dealt into groups by hash, a group of g tokens keeps a shared k-combination
+unless g - k + 1 errors fall on it. So a prefix whose tokens "cover" tau + 1 errors (each own or class-1 token one, each
+group g - k + 1) holds a shared index key, for the set whose prefix ends first and so for both. The number of groups
+follows the length; sets that can match are of the same length class or of neighbouring ones and meet under the larger.
+
+How often a token occurs is counted over all sets: tokens travel once, as packed arrays to buckets by hash, and those
+of several sets come back to their sets. A set with more than tau tokens of its own can't match and is done. What
+remains are the live sets, and only their shared tokens, which is all that an overlap needs. Tokens that occur so often
+that they would fill a bucket are known from counts over parts of the input, and don't travel to buckets.
+
+Candidates of a key aren't paired: each set is first compared with the centre that most of its keys name, and
+components of these links are taken. Only keys whose members still are of several components go on: their members
+meet in blocks, everyone outside of the largest component of a cluster with all the others, by exact overlaps.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ship, stored, widened
+from tessella.llm.common import discard, ship, stored, widened
 from tessella.llm.ragged import SPACES, U64, buffers, hashes, lower_ascii, mix64, shingle_sets, spans
 
 SHINGLE = 5
 PERCENT = 75
-#: counters of the token counts; each input task writes so many, compressed
-WIDTH = 1 << 20
-SLABS = 64
-#: members up to which all pairs of an index key are candidates at once; in larger keys, members first pair with a centre
-SMALL = 2
-#: keys of more members than this deal their centres by CENTRES salts, and are completed by blocks rather than by pairs
-LARGE = 64
+#: sets in which a token occurs from which on it is of class 2, and times the least of hot tokens from which on of class 3
+PAIRS_FROM = 64
+TRIPLES_FROM = 8
+#: tokens of a bucket on average; tokens that a task gathers before it sends them
+BUCKET_TOKENS = 1 << 22
+WINDOW_TOKENS = 1 << 21
+#: a token is hot if it occurs HOT_LEAST times and is one in HOT_SHARE of all at least; so there are at most HOT_SHARE hot ones
+HOT_LEAST = 256
+HOT_SHARE = 1 << 18
+#: times in a window from which on a token is reported as perhaps hot
+HOT_LOCAL = 4
+#: salts by which the keys of a group of sets name different centres
 CENTRES = 4
-#: sets of a class below this size have too few tokens for pairs of them: frequent ones are indexed singly
-TINY = 8
-#: members of a block of a cluster whose sets are compared with each other
-BLOCK_SETS = 2048
-#: bytes of the histogram that bounds an overlap from above
-SIGNATURE = 256
-#: most candidate documents whose ids are broadcast rather than joined
-BROADCAST_IDS = 1_000_000
+#: tokens of the sets that meet in a block
+BLOCK_TOKENS = 1 << 21
+#: bytes of a token on its way to a bucket, which knows its upper bits
+PACKED = 6
+#: most sets that a task remembers in order to send equal ones once
+SEEN = 1 << 17
 
 
 def token_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -60,15 +70,9 @@ def set_id(tokens: np.ndarray) -> int:
     return int(mix64(mix64(both[:1]) + both[1:] + U64(len(tokens))).view(np.int64)[0])
 
 
-def signature(tokens: np.ndarray) -> bytes | None:
-    """Tokens per hash value modulo SIGNATURE; none if a count overflows a byte."""
-    c = np.bincount((tokens >> U64(20)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE)
-    return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else None
-
-
-def first_needed(n: int, share: int, percent: int = PERCENT) -> int:
-    """Tokens of a set of n that must hold `share` of those it has in common with any partner."""
-    return n - -(-percent * n // 100) + share
+def most_missing(n: int, percent: int = PERCENT) -> int:
+    """Tokens of a set of n that a set which links with it can lack."""
+    return n - -(-percent * n // 100)
 
 
 def length_class(n: int, percent: int = PERCENT) -> int:
@@ -81,227 +85,362 @@ def length_class(n: int, percent: int = PERCENT) -> int:
     return c
 
 
-def groups_of(c: int, percent: int = PERCENT) -> int:
-    return max(1, math.ceil((100 - percent) / 200 * (100 / percent) ** (c + 1)))
+def groups_of(c: int, percent: int = PERCENT) -> tuple[int, int] | None:
+    """Groups of class 2 and class 3 for sets that meet under length class c; none if they have too few tokens for combinations.
+
+    A set that meets there has lo * percent / 100 tokens at least, of which percent must be shared: so many are
+    there beyond tau. What m2 + 2 m3 takes of them is enough for a cover.
+    """
+    least = (100 / percent) ** c * (percent / 100) ** 2
+    return (max(1, int(0.3 * least)), max(1, int(0.2 * least))) if least >= 9 else None
+
+
+def combinations(tokens: np.ndarray, group: np.ndarray, k: int, salt: int) -> np.ndarray:
+    """Keys of all k-combinations (k is 2 or 3) of tokens of one group; tokens are in the common order."""
+    order = np.argsort(group, kind="stable")
+    f, group = tokens[order], group[order]
+    ends = np.searchsorted(group, group, "right")
+
+    def extend(last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each combination, by the place of its last token, with each later token of the group."""
+        after = ends[last] - last - 1
+        which = np.repeat(np.arange(len(last)), after)
+        return which, last[which] + 1 + np.arange(len(which)) - np.repeat(np.cumsum(after) - after, after)
+
+    place = np.arange(len(f))
+    keys = mix64(f + U64(salt))
+    for _ in range(k - 1):
+        which, place = extend(place)
+        keys = mix64(keys[which] + f[place] * U64(0xD1342543DE82EF95))
+    return keys
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The index keys of a set: rare tokens of the prefix, and pairs of frequent ones of the extended prefix.
+def index_keys(tokens: np.ndarray, n: int, ones: int, twos: int, percent: int = PERCENT) -> np.ndarray:
+    """The index keys of a live set of n tokens: those it shares with others are given in order, `ones` of class 1, then `twos` of class 2.
 
-    frequent: which tokens (by place) are of the frequent class. Keys are 64-bit hashes; that two different ones agree
-    only costs a candidate.
+    Keys are 64-bit hashes; that two different ones agree only costs a candidate.
     """
-    n = len(tokens)
-    rare, common = tokens[~frequent], tokens[frequent]
-    keys = [mix64(rare[: first_needed(n, 1, percent)] ^ U64(0x632BE59BD9B4E019))]
+    needed = most_missing(n, percent) + 1 - (n - len(tokens))  # errors to cover beyond the set's own tokens
+    keys = [mix64(tokens[: min(ones, needed)] ^ U64(0x632BE59BD9B4E019))]
+    needed -= ones
+    if needed <= 0:
+        return keys[0]
+    frequent = tokens[ones:]
     own = length_class(n, percent)
     for c in (own, own + 1):
-        if (100 / percent) ** c < TINY:
-            keys.append(mix64(common[: max(0, first_needed(n, 1, percent) - len(rare))] ^ mix64(np.array([c + 1], U64))))
+        groups = groups_of(c, percent)
+        if groups is None:
+            keys.append(mix64(frequent[:needed] ^ mix64(np.array([c + 1], U64))))
             continue
-        m = groups_of(c, percent)
-        f = common[: max(0, first_needed(n, m + 1, percent) - len(rare))]
-        if len(f) < 2:
-            continue
-        group = (mix64(f + U64(0x8CB92BA72F3D8DD7)) % U64(m)).astype(np.int64)
+        m2, m3 = groups
+        h = mix64(frequent + U64(0x8CB92BA72F3D8DD7))
+        pairs = np.arange(len(frequent)) < twos
+        group = np.where(pairs, h % U64(m2), U64(m2) + h % U64(m3)).astype(np.int64)
         order = np.argsort(group, kind="stable")
-        f, group = f[order], group[order]
-        ends = np.searchsorted(group, group, "right")
-        after = ends - np.arange(len(f)) - 1  # partners behind each token in its group
-        if not after.sum():
-            continue
-        left = np.repeat(np.arange(len(f)), after)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
-        keys.append(mix64(mix64(f[left] + U64(c + 1)) + f[right] * U64(0xD1342543DE82EF95)))
+        rank = np.empty(len(frequent), np.int64)
+        rank[order] = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+        cover = np.cumsum(rank >= np.where(pairs, 1, 2))
+        end = int(np.searchsorted(cover, needed)) + 1
+        f, g, p = frequent[:end], group[:end], pairs[:end]
+        keys.append(combinations(f[p], g[p], 2, c + 1))
+        keys.append(combinations(f[~p], g[~p], 3, c + 1))
     return np.concatenate(keys)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, n: int):
-    """Arrow batches of n rows while small rows go to Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def _packed(tokens: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.reshape(-1).view("<u8")
+
+
+def _joined(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary column, one after the other."""
+    parts = [np.zeros(0, np.uint8)]
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        _, offsets, data = c.cast(pa.large_binary()).buffers()
+        o = np.frombuffer(offsets, np.int64)[c.offset : c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int64)
+        if o[-1] > o[0]:
+            parts.append(np.frombuffer(data, np.uint8)[o[0] : o[-1]])
+    return np.concatenate(parts)
+
+
+def _binaries(column: pa.ChunkedArray | pa.Array, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype) for x in column]
 
 
-def describe(docs: DataFrame, width: int, k: int, percent: int) -> DataFrame:
-    """A row per document (id, n, sid, sig), and in rows of their own (slab, counts) each task's token counts."""
-    schema = widened(docs.select("__id").schema, "n int, sid long, sig binary, slab int, counts binary")
+class _Window:
+    """Distinct sets of a task's texts, until they have WINDOW_TOKENS tokens."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+        self.clear()
+
+    def clear(self) -> None:
+        self.sets: list[np.ndarray] = []
+        self.sids: list[int] = []
+        self.size = 0
+
+    def add(self, tokens: np.ndarray, sid: int) -> bool:
+        """Whether the window is full."""
+        if sid not in self.seen:
+            if len(self.seen) < SEEN:
+                self.seen.add(sid)
+            self.sets.append(tokens)
+            self.sids.append(sid)
+            self.size += len(tokens)
+        return self.size >= WINDOW_TOKENS
+
+
+def describe(docs: DataFrame, k: int) -> DataFrame:
+    """A row per document (id, n, sid), and in rows of their own (token, hits) tokens that occur HOT_LOCAL times in a window."""
+    schema = widened(docs.select("__id").schema, "n int, sid long, token long, hits int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
+        window = _Window()
         id_type = None
+
+        def hits() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate([np.zeros(0, U64), *window.sets]), return_counts=True)
+            keep = counts >= HOT_LOCAL
+            window.clear()
+            none = pa.nulls(int(keep.sum()))
+            return pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep].astype(np.int32))], schema.names)
+
         for b in batches:
             id_type = b.column(0).type
             sets = token_sets(b.column(1), k)
-            if len(sets):
-                total += np.bincount((np.concatenate(sets) & U64(width - 1)).astype(np.int64), minlength=width)
-            ids = [set_id(s) if len(s) else None for s in sets]
+            sids = [set_id(s) if len(s) else None for s in sets]
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(ids, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
-                schema.names,
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sids, pa.int64()), none.cast(pa.int64()), none.cast(pa.int32())], schema.names)
+            for s, i in zip(sets, sids):
+                if i is not None and window.add(s, i):
+                    yield hits()
         if id_type is not None:
-            size = width // SLABS
-            slabs = [total[i * size : (i + 1) * size].astype(np.uint32).tobytes() for i in range(SLABS)]
-            null = pa.nulls(SLABS)
-            yield pa.RecordBatch.from_arrays([null.cast(id_type), null.cast(pa.int32()), null.cast(pa.int64()), null.cast(pa.binary()), pa.array(range(SLABS), pa.int32()), pa.array(slabs, pa.binary())], schema.names)
+            yield hits()
 
     return docs.select("__id", "__text").mapInArrow(run, schema)
 
 
-def add_counts(slabs: DataFrame) -> DataFrame:
-    """Sums of each slab's counts within each partition, as int64."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for s, raw, wide in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x = np.frombuffer(raw, np.int64 if wide else np.uint32).astype(np.int64)
-                total[s] = total[s] + x if s in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary()), pa.array([True] * len(total), pa.bool_())], ["slab", "counts", "wide"])
+class Hot:
+    """Hot tokens, sorted, and the class of each; and how tokens are dealt into 2^bits buckets."""
 
-    return slabs.mapInArrow(run, "slab int, counts binary, wide boolean")
+    def __init__(self, tokens: np.ndarray, classes: np.ndarray, bits: int):
+        self.bits = bits
+        tokens = self.canonical(tokens)
+        self.tokens, first = np.unique(tokens, return_index=True)
+        self.classes = classes[first]
 
+    def canonical(self, tokens: np.ndarray) -> np.ndarray:
+        """What a bucket knows of a token: its first `bits` bits and its last 8 * PACKED."""
+        if self.bits + 8 * PACKED >= 64:
+            return tokens
+        return tokens & (self.upper(U64((1 << self.bits) - 1)) | U64((1 << 8 * PACKED) - 1))
 
-def frequent_slots(described: DataFrame, width: int) -> np.ndarray:
-    """Which counters hold far more than chance gives: mean + 8 standard deviations of chance + 64. `width` bits reach the driver."""
-    slabs = described.where("slab IS NOT NULL").select("slab", "counts", F.lit(False).alias("wide"))
-    with arrow_rows(described.sparkSession, 64):
-        rows = add_counts(add_counts(slabs).repartition(SLABS, "slab")).collect()
-    counts = np.zeros(width, np.int64)
-    size = width // SLABS
-    for r in rows:
-        counts[r["slab"] * size : (r["slab"] + 1) * size] += np.frombuffer(r["counts"], np.int64)
-    mean = counts.mean()
-    return counts > mean + 8 * math.sqrt(mean) + 64
+    def upper(self, bucket: np.uint64) -> np.uint64:
+        return bucket << U64(64 - self.bits) if self.bits else U64(0)
 
+    def bucket(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(tokens), np.int64)
 
-def index(docs: DataFrame, slots: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(key, sid) of every document's index keys; equal sets of a task are indexed once."""
-    spark = docs.sparkSession
-    packed = spark.sparkContext.broadcast(np.packbits(slots))
-    width = len(slots)
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each is hot, its place among hot ones)."""
+        if not len(self.tokens):
+            return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return self.tokens[at] == tokens, at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(packed.value).astype(bool)
-        seen: set[int] = set()
-        for b in batches:
-            keys, sids, rows = [], [], 0
-            for s in token_sets(b.column(0), k):
-                if not len(s):
-                    continue
-                sid = set_id(s)
-                if sid in seen:
-                    continue
-                if len(seen) < 1 << 17:
-                    seen.add(sid)
-                keys.append(index_keys(s, frequent[(s & U64(width - 1)).astype(np.int64)], percent))
-                sids.append(sid)
-                rows += len(keys[-1])
-                if rows > 1 << 18:
-                    yield pack(keys, sids)
-                    keys, sids, rows = [], [], 0
-            if rows:
-                yield pack(keys, sids)
-
-    def pack(keys: list[np.ndarray], sids: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), [len(x) for x in keys]))], ["key", "sid"])
-
-    return docs.select("__text").mapInArrow(run, "key long, sid long")
 
+def hot_tokens(described: DataFrame) -> Hot:
+    """At most HOT_SHARE tokens reach the driver: each stands for one in HOT_SHARE of all."""
+    total = described.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    least = max(HOT_LEAST, -(-total // HOT_SHARE))
+    found = described.where("token IS NOT NULL").groupBy("token").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= least).toArrow()
+    hits = found.column("hits").to_numpy()
+    bits = max(0, math.ceil(math.log2(max(1, total / BUCKET_TOKENS))))
+    return Hot(found.column("token").to_numpy().view(U64), np.where(hits >= TRIPLES_FROM * least, 3, 2).astype(np.uint8), bits)
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """Index rows whose key several sets have: key, sid, members, centre (the set of the key that star pairs go to)."""
-    by = Window.partitionBy("key")
-    once = rows.withColumn("before", F.lag("sid").over(by.orderBy("sid"))).where(F.col("before").isNull() | (F.col("before") != F.col("sid")))
-    salted = F.struct(F.xxhash64("sid", F.pmod("key", F.lit(CENTRES))).alias("h"), "sid")
-    members = F.count("*").over(by)
-    centre = F.when(members > LARGE, F.min(salted).over(by)["sid"]).otherwise(F.min("sid").over(by))
-    return once.select("key", "sid", members.alias("members"), centre.alias("centre")).where("members > 1")
 
+RUNS = "tokens binary, freqs binary, sids binary, ns binary, counts binary"
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+def scatter(docs: DataFrame, hot, k: int) -> DataFrame:
+    """(bucket, tokens, sids, ns, counts): the tokens of each bucket, set by set; of each set its sid, its size, and how many tokens stand here.
 
-def candidates(shared: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b): all of small keys, and of larger ones each member with its centre."""
-    small = shared.where(F.col("members") <= SMALL).select("key", "sid")
-    other = small.select("key", F.col("sid").alias("other"))
-    pairs = small.join(other, "key").where("sid < other").select(F.col("sid").alias("a"), F.col("other").alias("b"))
-    star = shared.where((F.col("members") > SMALL) & (F.col("sid") != F.col("centre"))).select(*_ordered("sid", "centre"))
-    return pairs.unionByName(star).distinct()
+    Hot tokens go to one of as many further buckets, by their set.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan: Hot = hot.value
+        window = _Window()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if not window.sets:
+                return
+            n = np.array([len(s) for s in window.sets], np.int64)
+            sids = np.array(window.sids, np.int64)
+            tokens = plan.canonical(np.concatenate(window.sets))
+            owner = np.repeat(np.arange(len(n)), n)
+            window.clear()
+            bucket = plan.bucket(tokens)
+            is_hot, _ = plan.find(tokens)
+            bucket[is_hot] = (1 << plan.bits) + sids[owner[is_hot]] % (1 << plan.bits)
+            order = np.argsort(bucket, kind="stable")
+            tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+            run = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])])
+            counts = np.diff(np.r_[run, len(tokens)]).astype(np.uint32)
+            of = owner[run]
+            begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[begin[1:], len(tokens)]
+            for b, e in zip(begin.tolist(), ends.tolist()):
+                number = int(bucket[b])
+                i, j = np.searchsorted(run, (b, e))
+                raw = _packed(tokens[b:e], PACKED if number < 1 << plan.bits else 8)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([number], pa.int32()), "tokens": [raw], "sids": [sids[of[i:j]].tobytes()], "ns": [n[of[i:j]].astype(np.uint32).tobytes()], "counts": [counts[i:j].tobytes()]})
 
-def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that sizes and signatures leave possible. sets: sid, n, sig, one row a set."""
-    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        for b in batches:
+            for s in token_sets(b.column(0), k):
+                if len(s) and window.add(s, set_id(s)):
+                    yield from rows()
+        yield from rows()
+
+    return docs.select("__text").mapInArrow(run, "bucket int, tokens binary, sids binary, ns binary, counts binary")
+
+
+def count_bucket(table: pa.Table, plan: Hot) -> pa.Table:
+    """What a bucket knows of its tokens that several sets have (or that are hot: frequency 0), dealt by set into as many homes."""
+    number = table.column("bucket")[0].as_py()
+    counted = number < 1 << plan.bits
+    tokens = _joined(table.column("tokens"))
+    tokens = _unpacked(tokens, PACKED) | plan.upper(U64(number)) if counted else tokens.view(U64)
+    sids, ns, counts = (_joined(table.column(c)).view(t) for c, t in (("sids", np.int64), ("ns", np.uint32), ("counts", np.uint32)))
+    counts = counts.astype(np.int64)
+    first = np.zeros(len(sids), bool)
+    first[np.unique(sids, return_index=True)[1]] = True  # equal sets of several tasks count once
+    tokens = tokens[np.repeat(first, counts)]
+    sids, ns, counts = sids[first], ns[first], counts[first]
+    freqs = np.zeros(len(tokens), np.uint16)
+    if counted:
+        order = np.argsort(tokens)
+        begin = np.flatnonzero(np.r_[True, tokens[order[1:]] != tokens[order[:-1]]])
+        times = np.diff(np.r_[begin, len(tokens)])
+        freqs[order] = np.repeat(np.minimum(times, 65535), times)
+        keep = freqs > 1
+        kept = np.add.reduceat(keep, np.cumsum(counts) - counts, dtype=np.int64)
+        tokens, freqs, counts = tokens[keep], freqs[keep], kept
+        some = counts > 0
+        sids, ns, counts = sids[some], ns[some], counts[some]
+    home = sids % (1 << plan.bits)
+    order = np.argsort(home, kind="stable")
+    start = np.cumsum(counts) - counts
+    at = np.repeat(start[order] - (np.cumsum(counts[order]) - counts[order]), counts[order]) + np.arange(len(tokens))
+    tokens, freqs, home, sids, ns, counts = tokens[at], freqs[at], home[order], sids[order], ns[order], counts[order]
+    cut = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    out: dict[str, list] = {c: [] for c in ("home", "tokens", "freqs", "sids", "ns", "counts")}
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(home)]):
+        b, e = ends[i] - counts[i], ends[j - 1]
+        out["home"].append(int(home[i]))
+        out["tokens"].append(tokens[b:e].tobytes())
+        out["freqs"].append(freqs[b:e].tobytes())
+        for c, x in (("sids", sids), ("ns", ns), ("counts", counts.astype(np.uint32))):
+            out[c].append(x[i:j].tobytes())
+    return pa.table({c: pa.array(x, pa.int32() if c == "home" else pa.binary()) for c, x in out.items()})
+
+
+LIVE = "sid long, n int, tokens binary, ones int, twos int"
+
+
+def live_of_home(table: pa.Table, plan: Hot, percent: int) -> pa.Table:
+    """The live sets of a home: shared tokens in order of class, frequency and hash, and how many are of class 1 and 2."""
+    tokens, freqs, sids, ns, counts = (_joined(table.column(c)).view(t) for c, t in (("tokens", U64), ("freqs", np.uint16), ("sids", np.int64), ("ns", np.uint32), ("counts", np.uint32)))
+    each, first, of = np.unique(sids, return_index=True, return_inverse=True)
+    n = ns[first].astype(np.int64)
+    shared = np.bincount(of, counts, len(each)).astype(np.int64)
+    live = n - shared <= n - -(-percent * n // 100)
+    owner = np.repeat(of, counts)
+    keep = live[owner]
+    tokens, freqs, owner = tokens[keep], freqs[keep], owner[keep]
+    klass = np.where(freqs < PAIRS_FROM, 1, 2).astype(np.uint8)
+    is_hot, at = plan.find(tokens)
+    klass[is_hot] = plan.classes[at[is_hot]]
+    freqs = np.where(is_hot, 0, freqs)
+    order = np.lexsort((tokens, freqs, klass, owner))
+    tokens, klass, owner = tokens[order], klass[order], owner[order]
+    ones, twos = (np.bincount(owner, klass == x, len(each)).astype(np.int32) for x in (1, 2))
+    ends = np.cumsum(np.where(live, shared, 0))
+    which = np.flatnonzero(live)
+    raw = [tokens[ends[i] - shared[i] : ends[i]].tobytes() for i in which.tolist()]
+    return pa.table({"sid": each[which], "n": n[which].astype(np.int32), "tokens": pa.array(raw, pa.binary()), "ones": ones[which], "twos": twos[which]})
+
+
+def live_sets(docs: DataFrame, plan: Hot, k: int, percent: int) -> DataFrame:
+    """Sets that can match another, with the tokens they share with others: LIVE."""
+    hot = docs.sparkSession.sparkContext.broadcast(plan)
+    counted = scatter(docs, hot, k).groupBy("bucket").applyInArrow(lambda t: count_bucket(t, hot.value), "home int, " + RUNS)
+    return counted.groupBy("home").applyInArrow(lambda t: live_of_home(t, hot.value, percent), LIVE)
+
+
+def index(live: DataFrame, percent: int) -> DataFrame:
+    """(key, sid) of every live set's index keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            na, nb = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-            keep = np.ones(b.num_rows, bool)
-            sa, sb = b.column(4).to_pylist(), b.column(5).to_pylist()
-            has = np.array([x is not None and y is not None for x, y in zip(sa, sb)], bool)
-            if has.any():
-                x = np.frombuffer(b"".join(s for s, h in zip(sa, has) if h), np.uint8).reshape(-1, SIGNATURE)
-                y = np.frombuffer(b"".join(s for s, h in zip(sb, has) if h), np.uint8).reshape(-1, SIGNATURE)
-                most = np.minimum(x, y).sum(1, dtype=np.int64)
-                keep[has] = 100 * most >= percent * (na[has] + nb[has] - most)
-            yield b.select([0, 1]).filter(pa.array(keep))
-
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+            keys = [np.unique(index_keys(t, *x, percent)) for t, *x in zip(_binaries(b.column(2), U64), *(b.column(i).to_pylist() for i in (1, 3, 4)))]
+            sids = np.repeat(b.column(0).to_numpy(), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U64), *keys]).view(np.int64)), pa.array(sids)], ["key", "sid"])
 
+    return live.mapInArrow(run, "key long, sid long")
 
-def whole_sets(docs: DataFrame, needed: DataFrame, k: int, full: bool) -> DataFrame:
-    """sid and all tokens of the needed sets, or the upper half of each token. needed: __rid (the id of a document that has it) and sid.
 
-    Left partitioned by sid, for the joins that follow.
-    """
-    small = needed.count() <= BROADCAST_IDS
-    want = F.broadcast(needed) if small else needed
-    rows = docs.join(want, docs["__id"].eqNullSafe(want["__rid"]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [(i, s) for i, s in zip(b.column(1).to_pylist(), token_sets(b.column(0), k)) if len(s) and set_id(s) == i]
-            raw = [s.tobytes() if full else (s >> U64(32)).astype(np.uint32).tobytes() for _, s in kept]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array(raw, pa.binary())], ["sid", "tokens"])
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """Index rows whose key several sets have: key, sid, and centre, a set of the key. Counted before the join, which splits skewed keys."""
+    salted = F.struct(F.xxhash64("sid", F.pmod("key", F.lit(CENTRES))).alias("h"), "sid")
+    keys = rows.groupBy("key").agg(F.count("*").alias("members"), F.min(salted)["sid"].alias("centre")).where("members > 1").select("key", "centre")
+    return rows.join(keys, "key")
 
-    return rows.select("__text", "sid").mapInArrow(run, "sid long, tokens binary").dropDuplicates(["sid"])
 
+def _bins(size: DataFrame, column: str) -> int:
+    total = size.agg(F.coalesce(F.sum(column), F.lit(0)).alias("t")).first()["t"]
+    return max(1, -(-total // BLOCK_TOKENS))
 
-def verdict(s: np.ndarray, t: np.ndarray, percent: int) -> bool | None:
-    """Whether 100 * |s and t| >= percent * |s or t|. Of half tokens a few may agree by chance: None where that could decide."""
-    if len(s) > len(t):
-        s, t = t, s
-    at = np.searchsorted(t, s)
-    at[at == len(t)] = 0
-    most = int(np.count_nonzero(t[at] == s))
-    least = most if s.dtype == U64 else max(0, most - 4 - (len(s) * len(t) >> 28))
-    holds = lambda common: 100 * common >= percent * (len(s) + len(t) - common)
-    return True if holds(least) else None if holds(most) else False
 
+def star_links(shared: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the sets that link with the centre that most of their keys name.
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, full: bool) -> DataFrame:
-    """a, b, link of each pair; link is null where half tokens don't tell. One shuffle of the sets serves both joins."""
-    side = lambda x: sets.select(F.col("sid").alias(x), F.col("tokens").alias(f"t{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    Each set travels once, to its centre; the centre travels to as many salts as its sets need.
+    """
+    best = shared.where("sid != centre").groupBy("sid", "centre").count().groupBy("sid").agg(F.max(F.struct("count", "centre"))["centre"].alias("centre"))
+    best = stored(best.join(live.select("sid", (F.length("tokens") / 8).cast("long").alias("size")), "sid"), "best")
+    salts = best.groupBy("centre").agg(F.ceil(F.sum("size") / BLOCK_TOKENS).cast("int").alias("salts"))
+    bins = _bins(best, "size")
+    salt = F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt")
+    ways = best.join(salts, "centre").select("sid", "centre", salt).unionByName(salts.select(F.col("centre").alias("sid"), "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
+    rows = ways.join(live.select("sid", "n", "tokens"), "sid").withColumn("bin", F.pmod(F.xxhash64("centre", "salt"), F.lit(bins)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = U64 if full else np.uint32
-        for b in batches:
-            out = [verdict(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind), percent) for x, y in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "link"])
+    def run(table: pa.Table) -> pa.Table:
+        sid, centre, salt, n = (table.column(c).to_numpy() for c in ("sid", "centre", "salt", "n"))
+        sets = _binaries(table.column("tokens"), U64)
+        order = np.lexsort((sid != centre, salt, centre))  # of each centre and salt, the centre first
+        a, b = [], []
+        middle, inside = -1, np.zeros(0, U64)
+        for i in order.tolist():
+            if sid[i] == centre[i]:
+                middle, inside = i, np.sort(sets[i])
+                continue
+            at = np.minimum(np.searchsorted(inside, sets[i]), len(inside) - 1)
+            common = int(np.count_nonzero(inside[at] == sets[i]))
+            if 100 * common >= percent * (int(n[i]) + int(n[middle]) - common):
+                a.append(int(sid[i]))
+                b.append(int(centre[i]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, link boolean")
+    links = stored(rows.groupBy("bin").applyInArrow(run, "a long, b long"), "star")
+    discard(best)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -314,152 +453,128 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "sid").select("sid", "comp", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("sid").alias("low"), F.col("comp").alias("far"))
         after = lower.join(jump, "low").select("sid", F.least("low", "far").alias("next"), "comp")
-        labels = stored(after.select("sid", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("changed")), "labels")
+        before, labels = labels, stored(after.select("sid", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("changed")), "labels")
+        discard(before)
         if labels.where("changed").isEmpty():
-            return labels.select("sid", "comp")
-
-
-def open_pairs(shared: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of keys of up to LARGE members whose two sets are in different components and haven't been tried: exhaustive.
-
-    All members of a key outside its largest component, with every member of another component.
-    """
-    big = shared.where(F.col("members").between(SMALL + 1, LARGE)).select("key", "sid").join(labels, "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
-    split = big.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = stored(big.join(split, "key", "left_semi"), "open")
-    if rows.isEmpty():
-        return rows.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
-    parts = rows.groupBy("key", "comp").count()
-    main = parts.groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-    rows = rows.join(main, "key")
-    left = rows.where("comp != main").select("key", "sid", "comp")
-    right = rows.select("key", F.col("sid").alias("other"), F.col("comp").alias("c2"), "main")
-    pairs = left.join(right, "key").where("comp != c2 AND (c2 = main OR sid < other)").select(*_ordered("sid", "other")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+            discard(edges)
+            return labels
 
 
 def open_members(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """sid and comp of the members of keys of more than LARGE members that still have several components, with cluster and its size.
+    """sid, comp and cluster of the members of keys that still have several components.
 
     A cluster is what such keys connect, linked or not: pairs that can still link are of one cluster.
     """
-    big = shared.where(F.col("members") > LARGE).select("key", "sid", "centre").join(labels, "sid", "left").select("key", "sid", "centre", F.coalesce("comp", "sid").alias("comp"))
-    split = big.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = stored(big.join(split, "key", "left_semi").select("sid", "comp", "centre").distinct(), "open")
-    edges = rows.where("sid != centre").select(*_ordered("sid", "centre")).distinct()
-    if edges.isEmpty():
-        return rows.select("sid", "comp", F.col("sid").alias("cluster"), F.lit(1).cast("long").alias("size"))
-    clusters = components(edges).withColumnRenamed("comp", "cluster")
-    size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    return stored(rows.select("sid", "comp").distinct().join(clusters, "sid").join(size, "cluster"), "clusters")
+    known = shared.join(labels.select("sid", "comp"), "sid", "left").select("key", "sid", "centre", F.coalesce("comp", "sid").alias("comp"))
+    split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rows = stored(known.join(split, "key", "left_semi").select("sid", "comp", "centre").distinct(), "open")
+    edges = rows.where("sid != centre").select(F.col("sid").alias("a"), F.col("centre").alias("b"))
+    clusters = components(edges)
+    out = stored(rows.select("sid", "comp").distinct().join(clusters.select("sid", F.col("comp").alias("cluster")), "sid"), "clusters")
+    discard(rows, clusters)
+    return out
 
 
-def compare(sids: list[int], comps: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int, bool | None]]:
-    """Links that join components of a block, or of two blocks (side tells which), and pairs that half tokens leave open.
+def compare(sids: list[int], comps: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join components, of left sets with right ones: exact overlaps from a list of sets for each token.
 
-    Sizes and histograms rule most pairs out, many at a time; members of a component that a link has joined aren't compared again.
+    Members of components that a link has joined aren't linked again.
     """
-    n = np.array([len(s) for s in sets])
-    marks = np.zeros((len(sets), SIGNATURE), np.uint16)
-    for i, s in enumerate(sets):
-        np.minimum(np.bincount(s.astype(np.int64) % SIGNATURE, minlength=SIGNATURE), 65535, out=marks[i], casting="unsafe")
+    size = np.array([len(s) for s in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    role = np.repeat(right, size)
+    order = np.argsort(codes[role], kind="stable")
+    lists = np.repeat(np.arange(len(sets)), size)[role][order]
+    begin = np.searchsorted(codes[role][order], np.arange(codes.max(initial=-1) + 2))
     root = np.unique(comps, return_inverse=True)[1]
-    out: list[tuple[int, int, bool | None]] = []
-    for i in range(len(sets)):
-        other = np.arange(i + 1, len(sets)) if side is None else np.flatnonzero(side > side[i])
-        other = other[(root[other] != root[i]) & (np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * percent)]
-        if not len(other):
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(left).tolist():
+        if not (right & (root != root[i])).any():
             continue
-        most = np.minimum(marks[other], marks[i]).sum(1, dtype=np.int64)
-        keep = 100 * most >= percent * (n[other] + n[i] - most)
-        other = other[keep][np.argsort(-most[keep], kind="stable")]
-        for j in other.tolist():
-            if root[j] == root[i]:
-                continue
-            link = verdict(sets[i], sets[j], percent)
-            if link is not False:
-                out.append((*sorted((sids[i], sids[j])), link))
-            if link:
+        c = codes[ends[i] - size[i] : ends[i]]
+        count = begin[c + 1] - begin[c]
+        at = np.repeat(begin[c] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        common = np.bincount(lists[at], minlength=len(sets))
+        for j in np.flatnonzero(100 * common >= percent * (n[i] + n - common)).tolist():
+            if root[j] != root[i]:
+                out.append((sids[i], sids[j]))
                 root[root == root[j]] = root[i]
     return out
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, link of clusters' members, compared block with block. A block has about BLOCK_SETS members, so a task's memory is bounded.
+def block_links(members: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that link components of a cluster. Blocks have about BLOCK_TOKENS tokens, so a task's memory is bounded.
 
-    Every member goes to as many tasks as its cluster has blocks; within a task nothing is emitted but links and open pairs.
+    Left are the members outside of the cluster's largest component, right all. A member goes to as many tasks as the other
+    side has blocks, once if the cluster is of one block; nothing but links leaves a task.
     """
-    blocks = F.ceil(F.col("size") / BLOCK_SETS).cast("int")
-    own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-    rows = members.join(sets, "sid").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sid", "comp", "tokens")
+    sized = stored(members.join(live.select("sid", (F.length("tokens") / 8).cast("long").alias("size")), "sid"), "sized")
+    parts = sized.groupBy("cluster", "comp").agg(F.sum("size").alias("size"))
+    sides = parts.groupBy("cluster").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"))
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_TOKENS)).cast("int")
+    sides = sides.select("cluster", "main", blocks(F.col("all") - F.col("most")).alias("lefts"), blocks(F.col("all")).alias("rights"))
+    h = F.xxhash64("sid")
+    rows = sized.join(sides, "cluster").withColumn("left", F.col("comp") != F.col("main")).withColumn("l", F.pmod(h, "lefts").cast("int")).withColumn("r", F.pmod(h, "rights").cast("int"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda x: F.struct(x.alias("lo"), F.col("r").alias("hi")))
+    as_left = F.transform(F.filter(F.sequence(F.lit(0), F.col("rights") - 1), lambda y: y != F.col("r")), lambda y: F.struct(F.col("l").alias("lo"), y.alias("hi")))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("left"), F.concat(as_right, as_left)).otherwise(as_right))).withColumn("lo", F.col("to.lo")).withColumn("hi", F.col("to.hi"))
+    bins = _bins(sized, "size")
+    rows = rows.select(F.pmod(F.xxhash64("cluster", "lo", "hi"), F.lit(bins)).alias("bin"), "cluster", "lo", "hi", "sid", "comp", (F.col("left") & (F.col("l") == F.col("lo"))).alias("left"), (F.col("r") == F.col("hi")).alias("right"))
+    rows = rows.join(live.select("sid", "n", "tokens"), "sid")
 
     def run(table: pa.Table) -> pa.Table:
-        # a fixed order, as rows arrive in any
-        order = np.argsort(table.column("sid").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        sets_ = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("tokens")]
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        side = None if lo == hi else (table.column("own").to_numpy() == hi).astype(np.int8)
-        found = compare(table.column("sid").to_pylist(), table.column("comp").to_numpy(), sets_, side, percent)
-        a, b, link = zip(*found) if found else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "link": pa.array(link, pa.bool_())})
-
-    return rows.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long, link boolean")
-
-
-def jaccard_join(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+        cluster, lo, hi, sid, comp, n = (table.column(c).to_numpy() for c in ("cluster", "lo", "hi", "sid", "comp", "n"))
+        left, right = (np.array(table.column(c).to_pylist(), bool) for c in ("left", "right"))
+        sets = _binaries(table.column("tokens"), U64)
+        order = np.lexsort((sid, hi, lo, cluster))  # a fixed order, as rows arrive in any
+        key = np.stack([cluster, lo, hi])[:, order]
+        cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+        found: list[tuple[int, int]] = []
+        for w in np.split(order, cut[1:]):
+            found += compare(sid[w].tolist(), comp[w], left[w], right[w], n[w].astype(np.int64), [sets[i] for i in w.tolist()], percent)
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    links = stored(rows.groupBy("bin").applyInArrow(run, "a long, b long"), "blocks")
+    discard(sized)
+    return links
+
+
+def jaccard_join(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links between similar texts, as classes: id, n_shingles, component_id, a row per document.
 
     Two documents link if 100 * |A and B| >= percent * |A or B| over their distinct k-word shingles (a text of fewer
     words is one shingle). component_id is the least id reachable by links, itself included. Equal sets are
-    handled as one, so copies cost nothing beyond their row; no link between different sets is lost, as
-    candidates are complete: pairs are left out only when their documents are connected already, or can't match by
-    sizes or by a histogram bound. Null texts and texts without words have no shingles and no links. Rows with equal ids keep a
+    handled as one, so copies cost nothing beyond their row; no link between components is lost, as
+    candidates are complete: sets are left out only when they are connected already, or when more than they may lack is
+    in no other set. Shingles are told apart by hashes of 64 bits, or, in small corpora, by 48 bits and those of the
+    bucket. Null texts and texts without words have no shingles and no links. Rows with equal ids keep a
     row each; a null id comes last among ids, so it is a component's id only if no other is. Other columns aren't read.
+    The tables that the returned rows are made of stay in the checkpoint folder; others are deleted.
     """
-    spark = ship(df.sparkSession)
+    ship(df.sparkSession)
     docs = df.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text"))
-    described = stored(describe(docs, width, k, percent), "described")
-    slots = frequent_slots(described, width)
-    rows = described.where("slab IS NULL")
-    sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.max("n").alias("n"), F.any_value("sig").alias("sig"), F.min("__id").alias("__rid"))
-    sets = stored(sets, "sets")
-    shared = stored(shared_keys(index(docs, slots, k, percent)), "shared")
-    tried = stored(candidates(shared), "tried")
-    links = _links(docs, tried, sets, k, percent)
-    labels = components(links)
-    more = stored(open_pairs(shared, labels, tried), "more")
-    if not more.isEmpty():
-        links = stored(links.unionByName(_links(docs, more, sets, k, percent)), "links")
-        labels = components(links)
+    described = stored(describe(docs, k), "described")
+    rows = described.where("token IS NULL")
+    live = stored(live_sets(docs, hot_tokens(described), k, percent), "live")
+    keys = stored(index(live, percent), "index")
+    shared = stored(shared_keys(keys), "shared")
+    discard(keys)
+    stars = star_links(shared, live, percent)
+    labels = components(stars)
     members = open_members(shared, labels)
+    discard(shared)
     if not members.isEmpty():
-        more = stored(block_links(members, whole_sets(docs, _needed(sets, members), k, False), percent), "blocks")
-        labels = components(links.unionByName(_settled(docs, more, sets, k, percent)))
-    known = sets.select("sid", "__rid").join(labels, "sid", "left").select("sid", "__rid", F.coalesce("comp", "sid").alias("comp"))
+        blocks = block_links(members, live, percent)
+        discard(labels)
+        labels = components(stars.unionByName(blocks))
+        discard(blocks)
+    discard(stars, members, live)
+    known = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("__id").alias("__rid")).join(labels.select("sid", "comp"), "sid", "left").select("sid", "__rid", F.coalesce("comp", "sid").alias("comp"))
+    known = stored(known, "sets")
+    discard(labels)
     least = known.groupBy("comp").agg(F.min("__rid").alias("component_id"))
     of_set = known.join(least, "comp").select("sid", "component_id")
     out = rows.select("__id", "n", "sid").join(of_set, "sid", "left")
     return out.select(F.col("__id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"))
-
-
-def _needed(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    return stored(sets.select("sid", "__rid").join(ids.select("sid").distinct(), "sid", "left_semi"), "needed")
-
-
-def _check(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, percent: int, full: bool) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
-    return stored(verified(pairs, whole_sets(docs, _needed(sets, ids), k, full), percent, full), "checked")
-
-
-def _settled(docs: DataFrame, checked: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links among checked pairs; those that half tokens leave open are checked by whole ones."""
-    unsure = checked.where("link IS NULL").select("a", "b").distinct()
-    links = checked.where("link").select("a", "b")
-    return links if unsure.isEmpty() else links.unionByName(_check(docs, unsure, sets, k, percent, True).where("link").select("a", "b"))
-
-
-def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that link."""
-    return _settled(docs, _check(docs, stored(possible(pairs, sets, percent), "possible"), sets, k, percent, False), sets, k, percent)

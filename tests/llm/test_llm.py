@@ -68,6 +68,46 @@ def test_bpe_round_trip_equals_library(spark, library):
     assert all(r.text == (ODD[r.doc_id] or "") for r in back)
 
 
+def test_bpe_query_equals_library_on_whole_documents(spark, sf, library):
+    texts = dict(documents(spark, sf))
+    got = Q.op9_bpe_round_trip(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        ref = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ref) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ref)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ref, skip_special_tokens=False).encode()).hexdigest()
+
+
+def regular_words():
+    """Words of two letters whose places follow the Thue-Morse sequence, each with its complement: polynomials modulo 2^64 agree on them."""
+    for n in (1024, 2048, 4096):
+        first = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        yield first
+        yield first.translate({97: "b", 98: "a"})
+
+
+def test_regular_words_aren_t_confused(spark, library):
+    texts = dict(enumerate(regular_words()))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    for r in tokens.encode_digest(rows, PATH).join(tokens.count_tokens(rows, PATH).withColumnRenamed("n_tokens", "n"), "doc_id").collect():
+        ref = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == r.n == len(ref) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ref)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(rows).collect()} == {d: d for d in texts}
+
+
+def test_memo_tells_chunks_of_equal_hash_apart(monkeypatch, library):
+    import pyarrow as pa
+
+    true = bpe.hashes
+    monkeypatch.setattr(bpe, "hashes", lambda *x: true(*x) % np.uint64(7))
+    state = {"tables": bpe.Tables(open(PATH, "rb").read()), "counts": bpe.Memo(), "ids": bpe.Memo()}
+    for part in (["one two three four", "five six seven eight nine ten"], ["one two four", "ten nine eight", None, ""], ["two two", "six"]):
+        ref = [library.encode(x or "", add_special_tokens=False).ids for x in part]
+        assert tokens.count_batch(state, pa.array(part))[1].tolist() == list(map(len, ref))
+        assert tokens.digest_batch(state, pa.array(part))[1] == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ref]
+
+
 def test_segment_tree_and_rounds_agree_on_random_bytes():
     tables = bpe.Tables(open(PATH, "rb").read())
     rng = np.random.default_rng(1)
@@ -199,23 +239,58 @@ def test_jaccard_join_of_large_groups(spark):
     for i in range(260, 300):
         texts[i] = texts[int(rng.integers(0, 260))]
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(rows, width=1 << 10).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(rows).collect()}
     assert got == brute_components(texts)
 
 
+def test_jaccard_join_of_hot_tokens_and_many_blocks(spark, monkeypatch):
+    """Hot tokens, all classes, several buckets, windows, salts and blocks, on few texts: limits are set low."""
+    rng = np.random.default_rng(8)
+    pick = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    texts = {}
+    for g in range(4):
+        original = pick(int(rng.integers(8, 90)))
+        for _ in range(60):
+            w = list(original)
+            for j in rng.integers(0, len(w), rng.integers(0, max(2, len(w) // 12))):
+                w[j] = pick(1)[0]
+            texts[len(texts)] = " ".join(w)
+    passage = pick(40)
+    for _ in range(60):
+        texts[len(texts)] = " ".join(pick(int(rng.integers(0, 12))) + passage + pick(int(rng.integers(0, 8))))
+    for name, value in (("PAIRS_FROM", 4), ("HOT_LEAST", 20), ("TRIPLES_FROM", 3), ("BUCKET_TOKENS", 4000), ("WINDOW_TOKENS", 1500), ("BLOCK_TOKENS", 900)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(rows).collect()}
+    want = brute_components(texts)
+    assert got == want and 10 < len({c for _, c in want.values()}) < 290
+
+
 def test_prefixes_find_every_pair():
     rng = np.random.default_rng(5)
-    for n in (1, 2, 3, 7, 20, 133, 400):
-        for _ in range(30):
-            a = np.unique(rng.integers(0, 1 << 60, n, np.uint64))
-            drop = rng.integers(0, max(1, len(a) // 4) + 1)
-            b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 1 << 60, rng.integers(0, max(1, len(a) // 8) + 1), np.uint64)]))
-            i = len(np.intersect1d(a, b))
-            if not len(b) or 100 * i < 75 * (len(a) + len(b) - i):
-                continue
-            share = rng.choice([0, 0.5, 1.0])
-            frequent = lambda x: (x >> np.uint64(3)) % np.uint64(100) < np.uint64(int(100 * share))
-            assert len(np.intersect1d(jaccard.index_keys(a, frequent(a)), jaccard.index_keys(b, frequent(b))))
+    checked = 0
+    for n in (1, 2, 3, 7, 12, 16, 20, 33, 133, 400):
+        for percent in (50, 75, 90):
+            for _ in range(30):
+                a = np.unique(rng.integers(0, 1 << 60, n, np.uint64))
+                drop = rng.integers(0, max(1, len(a) * (100 - percent) // 100) + 1)
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 1 << 60, rng.integers(0, max(1, len(a) // 8) + 1), np.uint64)]))
+                i = len(np.intersect1d(a, b))
+                if not len(b) or 100 * i < percent * (len(a) + len(b) - i):
+                    continue
+                cuts = sorted(rng.choice([0, 20, 50, 100], 2))
+                klass = lambda x: 1 + ((x >> np.uint64(3)) % np.uint64(100) >= cuts[0]).astype(int) + ((x >> np.uint64(3)) % np.uint64(100) >= cuts[1])  # noqa: B023, E731
+
+                def keys(x, other):
+                    x = x[np.isin(x, other) | (x % np.uint64(2) == 0)]  # noqa: B023  tokens of no other set are left out
+                    k = klass(x)  # noqa: B023
+                    order = np.lexsort((x, k))
+                    return x[order], int((k == 1).sum()), int((k == 2).sum())
+
+                (ta, *ca), (tb, *cb) = keys(a, b), keys(b, a)
+                assert len(np.intersect1d(jaccard.index_keys(ta, len(a), *ca, percent), jaccard.index_keys(tb, len(b), *cb, percent)))
+                checked += 1
+    assert checked > 300
 
 
 def test_mixing(spark, sf):
@@ -399,7 +474,7 @@ def test_mixing_of_null_and_repeated_ids(spark, sf):
             mine = [r.taken > 0 for r in plan if (r.doc_id, r.source_size) == (d, n)]
             assert 0 < sum(mine) < len(mine)
     assert sorted(map(repr, plan)) == sorted(map(repr, mixing.mix(docs.repartition(5), share=0.6, cap=1).collect()))
-    keyed = mixing.mix(docs.selectExpr("*", "uuid() AS k").localCheckpoint(), row="k")
+    keyed = mixing.mix(docs.selectExpr("*", "uuid() AS k").checkpoint(), row="k")
     assert keyed.columns[-1] == "k" and keyed.select("k").distinct().count() == len(rows)
     got = corpus_pipeline.mix_sources(spark, docs, sf)
     assert got.columns == docs.columns
