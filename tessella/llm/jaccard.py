@@ -46,8 +46,6 @@ HOT_LEAST = 256
 HOT_SHARE = 1 << 18
 #: times in a window from which on a token is reported as perhaps hot
 HOT_LOCAL = 4
-#: salts by which the keys of a group of sets name different centres
-CENTRES = 4
 #: tokens of the sets that meet in a block
 BLOCK_TOKENS = 1 << 21
 #: bytes of a token on its way to a bucket, which knows its upper bits
@@ -397,9 +395,11 @@ def index(live: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """Index rows whose key several sets have: key, sid, and centre, a set of the key. Counted before the join, which splits skewed keys."""
-    salted = F.struct(F.xxhash64("sid", F.pmod("key", F.lit(CENTRES))).alias("h"), "sid")
-    keys = rows.groupBy("key").agg(F.count("*").alias("members"), F.min(salted)["sid"].alias("centre")).where("members > 1").select("key", "centre")
+    """Index rows whose key several sets have: key, sid, and centre, the set of the key that is least by hash.
+
+    So most keys of a group of copies name the same few centres. Counted before the join, which splits skewed keys.
+    """
+    keys = rows.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("sid").alias("h"), "sid"))["sid"].alias("centre")).where("members > 1").select("key", "centre")
     return rows.join(keys, "key")
 
 
