@@ -70,3 +70,33 @@ def now_iso(clock: Column | None = None) -> Column:
 def today(clock: Column | None = None) -> Column:
     """DAT02."""
     return F.date_format(clock if clock is not None else F.current_date(), "yyyy-MM-dd")
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """MTH01: half away from zero, on the decimal that the number shows."""
+    return F.round(c, digits)
+
+
+def any_of(items: Column, holds) -> Column:
+    """ARR02: whether it holds for some item."""
+    return F.exists(items, holds)
+
+
+def all_of(items: Column, holds) -> Column:
+    """ARR02: whether it holds for every item; true of none."""
+    return F.forall(items, holds)
+
+
+def any_in(items: Column, names: tuple[str, ...]) -> Column:
+    """ARR02: whether some item is one of the names."""
+    return F.arrays_overlap(items, F.array(*[F.lit(n) for n in names]))
+
+
+def random_id() -> Column:
+    """HSH03: eight hex digits, new at each evaluation; nothing that is compared may depend on it."""
+    return F.substring(F.uuid(), 1, 8)
+
+
+def distinct_values(*columns) -> Column:
+    """AGG04: the distinct values of a group in order, as an aggregate."""
+    return F.array_sort(F.collect_set(*columns))

@@ -1,11 +1,11 @@
-"""Hooks for external converters (UDF01, UDF02, UDF08, WIN05): the dispatch, order and status, not the conversion itself."""
+"""Hooks for external converters (UDF01, UDF02, UDF05, UDF08, WIN05): the dispatch, order and status, not the conversion itself."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Converter = Callable[[str, bytes], str | None]
@@ -38,6 +38,18 @@ def convert(files: DataFrame, strategies: list[tuple[str, Converter]], skip: tup
     return files.select("path", "content").mapInArrow(run, "path string, converter string, markdown string, error string")
 
 
+#: fixed values: ways from office files to pages, in order, and their time limits in seconds; all are external programs
+OFFICE = (("soffice", 120), ("mammoth+chrome", 60), ("docx2pdf", None))
+
+
+def office_strategy(soffice: Column, chrome: Column, word: Column) -> Column:
+    """UDF05, WIN05: struct(strategy, seconds): the first way that is there, or none."""
+    out = F.struct(F.lit("none").alias("strategy"), F.lit(None).cast("long").alias("seconds"))
+    for there, (name, seconds) in reversed(list(zip((soffice, chrome, word), OFFICE))):
+        out = F.when(there, F.struct(F.lit(name).alias("strategy"), F.lit(seconds).cast("long").alias("seconds"))).otherwise(out)
+    return out
+
+
 def with_status(converted: DataFrame, images: DataFrame) -> DataFrame:
     """PRJ04 over conversions: path, status."""
     from tessella.operators.ingest import document_status

@@ -48,10 +48,23 @@ def load_runs(gradings: DataFrame, timings: DataFrame, compat: bool = False) ->
     return g.withColumns({"time_seconds": time, "tokens": tokens.cast("long")}).drop("t_time", "t_tokens")
 
 
+def placed(rows: DataFrame, column: str, bins: int = 64, sample: int = 10_000) -> DataFrame:
+    """Adds place, from 0, by a column of distinct values: ranges sort on their own, and move on by the sizes of those before.
+
+    The cuts come from `sample` values of least hash; they only balance the ranges, the places are exact.
+    """
+    cuts = rows.select(F.col(column).alias("v")).orderBy(F.xxhash64("v")).limit(sample).agg(F.array_sort(F.collect_list("v")).alias("v"))
+    cuts = cuts.select(F.filter("v", lambda x, i: i % max(1, sample // bins) == 0).alias("cuts"))
+    ranged = rows.join(F.broadcast(cuts), how="cross").withColumn("range", F.size(F.filter("cuts", lambda x: x <= F.col(column)))).drop("cuts")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("range").orderBy(column)) - 1
+    return ranged.withColumn("place", place).join(F.broadcast(before), "range").select(*rows.columns, (F.col("place") + F.col("before")).cast("long").alias("place"))
+
+
 def eval_ids(rows: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """JON07, WIN04: eval_id of each directory: from its metadata, else the number in its name, else its place by name."""
-    place = F.row_number().over(Window.orderBy("eval_dir")) - 1
-    d = rows.select("eval_dir").distinct().withColumn("place", place)
+    d = placed(rows.select("eval_dir").distinct(), "eval_dir")
     if meta is not None:
         d = d.join(meta.select("eval_dir", F.col("eval_id").alias("stated")), "eval_dir", "left")
     else:
@@ -113,11 +126,23 @@ def until_stop(history: DataFrame, failed: str = "train_failed", most: int = 5)
     return history.join(F.broadcast(end)).where((F.col("iteration") <= F.coalesce("end", F.lit(most))) & (F.col("iteration") <= most)).drop("end")
 
 
-def stratified_split(rows: DataFrame, key: str, stratum: str, holdout: float = 0.4, seed: int = 42) -> DataFrame:
-    """MTH04, MTH05: adds split: of each stratum the first max(1, floor(n * holdout)) by a seeded hash are test."""
-    by = Window.partitionBy(stratum)
-    place = F.row_number().over(by.orderBy(V.shuffle_rank(F.col(key), seed), F.col(key)))
-    return rows.withColumn("split", F.when(place <= V.holdout_size(F.count("*").over(by), holdout), "test").otherwise("train"))
+def stratified_split(rows: DataFrame, key: str, stratum: str, holdout: float = 0.4, seed: int = 42, digits: int = 3) -> DataFrame:
+    """MTH04, MTH05: adds split: of each stratum the first max(1, floor(n * holdout)) by a seeded hash are test.
+
+    Hashes fall into bins by their first `digits` hex digits. Counts of a stratum's bins tell the bin in which its
+    test part ends; only the rows of that bin are ranked, so no task sorts a stratum.
+    """
+    binned = rows.withColumn("__rank", V.shuffle_rank(F.col(key), seed)).withColumn("__bin", F.substring("__rank", 1, digits))
+    counts = rows.withColumn("__bin", F.substring(V.shuffle_rank(F.col(key), seed), 1, digits)).groupBy(stratum, "__bin").agg(F.count("*").alias("n"))
+    by = Window.partitionBy(stratum)  # 16 ** digits rows of a stratum at most
+    counts = counts.withColumn("size", V.holdout_size(F.sum("n").over(by), holdout)).withColumn("before", F.sum("n").over(by.orderBy("__bin")) - F.col("n"))
+    left = counts.select(F.col(stratum).alias("__s"), F.col("__bin").alias("__b"), (F.col("size") - F.col("before")).alias("__left"), "n")
+    both = binned.join(left, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b"))).drop("__s", "__b")
+    edge = (F.col("__left") > 0) & (F.col("__left") < F.col("n"))
+    whole = both.where(~edge).withColumn("split", F.when(F.col("__left") > 0, "test").otherwise("train"))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("__rank", key))
+    cut = both.where(edge).withColumn("split", F.when(place <= F.col("__left"), "test").otherwise("train"))
+    return whole.unionByName(cut).drop("__rank", "__bin", "__left", "n")
 
 
 def blinded(df: DataFrame) -> DataFrame:
@@ -171,3 +196,10 @@ def latest_label(rows: DataFrame, key: str, label: str, arrival: str) -> DataFra
 def previous_outputs(runs: DataFrame, key: str = "run_id", order: str = "iteration", value: str = "output") -> DataFrame:
     """WIN12: adds the value of the iteration before."""
     return runs.withColumn("previous", F.lag(value).over(Window.partitionBy(key).orderBy(order)))
+
+
+def verified_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """JON12: kind, claims, verified: how many claims of a kind (factual, process, quality) have evidence. The verdicts themselves are judged, and given."""
+    known = evidence.select("claim_id").distinct().withColumn("has", F.lit(True))
+    rows = claims.join(known, "claim_id", "left")
+    return rows.groupBy("kind").agg(F.count("*").alias("claims"), F.count_if(F.col("has").isNotNull()).alias("verified"))

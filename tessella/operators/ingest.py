@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
+from tessella.session import stored
 
 #: fixed values: kinds of documents by extension
 KINDS = {
@@ -77,23 +78,34 @@ def manifest_diff(current: DataFrame, manifest: DataFrame, force: bool = False,
     return c.join(m, "key", "full").select("key", action.alias("action"))
 
 
+def current_keys(*listings: DataFrame) -> DataFrame:
+    """SET01, SET02: the distinct keys of several listings, documents and archives."""
+    out = listings[0].select("key")
+    for more in listings[1:]:
+        out = out.unionByName(more.select("key"))
+    return out.distinct()
+
+
 def orphans(manifest: DataFrame, current: DataFrame, existing: DataFrame) -> DataFrame:
     """JON02: entries whose key isn't current and whose source is gone."""
     return manifest.join(current.select("key"), "key", "left_anti").join(existing.select("source"), "source", "left_anti")
 
 
-def orphan_closure(manifest: DataFrame, orphan: DataFrame, compat: bool = False, depth: int = 2) -> DataFrame:
-    """JON03: orphans with the children of orphaned archives, nested to `depth`; a child alone is no orphan unless compat.
+def orphan_closure(manifest: DataFrame, orphan: DataFrame, compat: bool = False) -> DataFrame:
+    """JON03: orphans with the children of orphaned archives, and theirs, to any depth; a child alone is no orphan unless compat.
 
-    manifest: key, archive_contents. Set-based, so cleaning twice does no harm.
+    manifest: key, archive_contents. Set-based, so cleaning twice does no harm. Levels are stored and go on until one has
+    nothing new, so archives that hold each other end as well.
     """
-    edges = manifest.select(F.col("key").alias("parent"), F.explode("archive_contents").alias("child"))
+    edges = stored(manifest.select(F.col("key").alias("parent"), F.explode("archive_contents").alias("child")), "members")
     found = orphan.select("key") if compat else orphan.select("key").join(edges.select(F.col("child").alias("key")), "key", "left_anti")
-    level = found
-    for _ in range(depth):
-        level = level.join(edges, F.col("key") == F.col("parent")).select(F.col("child").alias("key"))
-        found = found.unionByName(level)
-    return found.distinct()
+    found = stored(found.distinct(), "orphans")
+    levels = [found]
+    while not levels[-1].isEmpty():
+        new = levels[-1].join(edges, F.col("key") == F.col("parent")).select(F.col("child").alias("key")).distinct().join(found, "key", "left_anti")
+        levels.append(stored(new, "orphans"))
+        found = found.unionByName(levels[-1])
+    return found
 
 
 def document_status(has_text: Column, has_images: Column) -> Column:
@@ -137,23 +149,24 @@ def display_names(files: DataFrame, stem: Column, prefix: Column, name: Column)
     return files.withColumn("display", F.when(clash, F.concat(prefix, F.lit("-"), name)).otherwise(name))
 
 
-def index_listing(entries: DataFrame, images: str = "images", n: int = 3) -> DataFrame:
-    """SNK03, LIM01: adds listed (the first n images) and more (how many follow)."""
-    items = F.col(images)
-    return entries.withColumn("listed", F.slice(items, 1, n)).withColumn("more", F.greatest(F.lit(0), F.size(items) - n).cast("long"))
+def index_listing(images: DataFrame, by: str, image: str, n: int = 3) -> DataFrame:
+    """SNK03, LIM01: by, listed (the first n images) and more (how many follow). Only the first n of each task's rows move."""
+    rows = images.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(image))).where(F.col("place") <= n)
+    listed = rows.groupBy(by).agg(F.array_sort(F.collect_list(image)).alias("listed"))
+    counts = images.groupBy(by).agg(F.greatest(F.lit(0), F.count("*") - n).cast("long").alias("more"))
+    return listed.join(counts, by)
 
 
 def companions(videos: DataFrame, subtitles: DataFrame, prefix: int = 40) -> DataFrame:
     """SRC22: subtitles of the same directory with the video's stem, or beginning with its first 40 characters.
 
-    An equi-join on directory and those characters, not a comparison of all pairs.
+    Both are one equi-join: a subtitle is listed under each of its beginnings of up to so many characters, a video under
+    its own beginning, so a flat directory isn't compared with itself.
     """
-    v = videos.select("dir", F.col("stem").alias("video"), F.substring("stem", 1, prefix).alias("start"))
-    s = subtitles.select("dir", F.col("stem").alias("subtitle"))
-    long_ = v.where(F.length("start") == prefix).join(s.withColumn("start", F.substring("subtitle", 1, prefix)), ["dir", "start"])
-    same = v.join(s, (v["dir"] == s["dir"]) & (v["video"] == s["subtitle"])).select(v["dir"], "video", "subtitle")
-    short = v.where(F.length("start") < prefix).join(s, "dir").where(F.startswith("subtitle", "start"))
-    return long_.select("dir", "video", "subtitle").unionByName(same).unionByName(short.select("dir", "video", "subtitle")).distinct()
+    v = videos.select("dir", F.col("stem").alias("video"), F.substring("stem", 1, prefix).alias("start")).distinct()
+    s = subtitles.select("dir", F.col("stem").alias("subtitle")).distinct()
+    beginnings = F.transform(F.sequence(F.lit(0), F.least(F.lit(prefix), F.length("subtitle"))), lambda n: F.substring("subtitle", F.lit(1), n))
+    return v.join(s.withColumn("start", F.explode(beginnings)), ["dir", "start"]).select("dir", "video", "subtitle")
 
 
 def missing_transcripts(videos: DataFrame, companion: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -167,10 +180,9 @@ def transcript_source(manual: Column, generated: Column, allow_generation: Colum
 
 
 def pick_named(documents: DataFrame, archives: DataFrame, name: str) -> DataFrame:
-    """PRJ08: the documents of that name, and only without any the archives of that name."""
-    d, a = documents.where(F.col("name") == name), archives.where(F.col("name") == name)
-    found = d.select(F.lit(1).alias("hit")).limit(1)
-    return d.unionByName(a.join(F.broadcast(found), F.lit(True), "left_anti"))
+    """PRJ08: the documents of that name, and only without any the archives of that name. Few rows have a name, so they may meet in one task."""
+    rows = documents.where(F.col("name") == name).withColumn("rank", F.lit(1)).unionByName(archives.where(F.col("name") == name).withColumn("rank", F.lit(2)))
+    return rows.withColumn("best", F.min("rank").over(Window.partitionBy("name"))).where("rank = best").drop("rank", "best")
 
 
 def fragment(frontmatter: Column, body: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import text as X
+from tessella.session import stored
+
 
 def revision_log(revisions: DataFrame, key: str = "artifact") -> DataFrame:
     """WIN06, WIN07: adds rev (r1 is the oldest) and current."""
@@ -51,15 +54,16 @@ def triple_gaps(triples: DataFrame, patterns: DataFrame) -> DataFrame:
 def expand(triples: DataFrame, seeds: DataFrame, least: float = 0.3, depth: int = 5) -> DataFrame:
     """GRF03: nodes reached from the seeds with their depth and the best product of relevances on the way.
 
-    A level is one join and one aggregate; levels end at `depth`, below `least`, or without new nodes. `depth` is small and fixed.
+    A level is one join and one aggregate over the stored level before; levels end at `depth`, below `least`, or without new nodes.
     """
-    reached = seeds.select("node", F.lit(1.0).alias("relevance"), F.lit(0).alias("depth"))
-    front = reached
+    edges = stored(triples.select(F.col("subject").alias("node"), "object", F.col("relevance").alias("weight")), "triples")
+    front = reached = stored(seeds.select("node", F.lit(1.0).alias("relevance"), F.lit(0).alias("depth")), "level")
     for d in range(1, depth + 1):
-        edges = triples.select(F.col("subject").alias("node"), "object", F.col("relevance").alias("weight"))
         step = front.join(edges, "node").select(F.col("object").alias("node"), (F.col("relevance") * F.col("weight")).alias("relevance"))
         step = step.where(F.col("relevance") >= least).groupBy("node").agg(F.max("relevance").alias("relevance")).withColumn("depth", F.lit(d))
-        front = step.join(reached.select("node"), "node", "left_anti")
+        front = stored(step.join(reached.select("node"), "node", "left_anti"), "level")
+        if front.isEmpty():
+            break
         reached = reached.unionByName(front)
     return reached
 
@@ -80,17 +84,20 @@ def why_chain(edges: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:
     )
 
 
-def version_tree(versions: DataFrame, most: int = 50) -> DataFrame:
-    """GRF05, WIN10: version, parent, depth, is_current_best (the best rate, the first of equals)."""
-    spark = versions.sparkSession
-    versions.createOrReplaceTempView("tessella_versions")
-    tree = spark.sql(
-        f"""WITH RECURSIVE tree(version, parent, depth) AS (
-          SELECT version, parent, 0 FROM tessella_versions WHERE parent IS NULL
-          UNION ALL
-          SELECT v.version, v.parent, t.depth + 1 FROM tree t JOIN tessella_versions v ON v.parent = t.version WHERE t.depth < {int(most)})
-        SELECT * FROM tree"""
-    )
+def version_tree(versions: DataFrame) -> DataFrame:
+    """GRF05, WIN10: version, parent, depth, is_current_best (the best rate, the first of equals).
+
+    Parents are jumped over: each round doubles how far up every version looks, so a chain of any length takes as many rounds
+    as its length has binary digits. Versions without a root above them (in a circle, or with a parent that isn't there) are left out.
+    """
+    up = stored(versions.select("version", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "tree")
+    most = versions.count()
+    while up.where("up IS NOT NULL").limit(1).count() and most > 0:
+        above = up.select(F.col("version").alias("a"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        far = up.join(above, F.col("up") == F.col("a"), "left").where("up IS NULL OR a IS NOT NULL")
+        up = stored(far.select("version", "parent", "next", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).withColumnRenamed("next", "up"), "tree")
+        most //= 2
+    tree = up.where("up IS NULL").drop("up")
     best = versions.agg(F.min(F.struct((-F.coalesce("rate", F.lit(0.0))).alias("r"), "version"))["version"].alias("best"))
     return tree.join(F.broadcast(best)).withColumn("is_current_best", F.col("version") == F.col("best")).drop("best")
 
@@ -136,41 +143,49 @@ def edge_label_is(style: Column, connectable: Column) -> Column:
     return (F.coalesce(connectable, F.lit("1")) == "0") | F.contains(F.coalesce(style, F.lit("")), F.lit("edgeLabel"))
 
 
-#: fixed values: shapes by a part of the style, in order
-SHAPES = (("cylinder", "database"), ("rhombus", "decision"), ("ellipse", "ellipse"), ("actor", "actor"), ("swimlane", "container"), ("cloud", "cloud"), ("document", "document"))
+#: fixed values: shapes by parts of the style, in order, and that of any other style
+SHAPES = ((("cylinder",), "database"), (("rhombus", "diamond"), "decision"), (("ellipse",), "actor"), (("cloud",), "cloud"), (("shape=mxgraph.aws", "shape=mxgraph.azure"), "cloud-service"))
+OTHER_SHAPE = "component"
 
 
 def shape(style: Column) -> Column:
-    """PRJ12: the first part that the style holds."""
-    out = F.lit("rectangle")
-    for part, name in reversed(SHAPES):
-        out = F.when(F.contains(F.coalesce(style, F.lit("")), F.lit(part)), name).otherwise(out)
+    """PRJ12: the first parts of which the style holds one."""
+    out = F.lit(OTHER_SHAPE)
+    for parts, name in reversed(SHAPES):
+        held = [F.contains(F.coalesce(style, F.lit("")), F.lit(p)) for p in parts]
+        out = F.when(held[0] | held[-1], name).otherwise(out)
     return out
 
 
+def _cells(cells: DataFrame) -> DataFrame:
+    """Cells with label, is_edge and is_label, without structural roots (PRJ15). Of cells of one id in a diagram that are edges, the last counts."""
+    c = cells.where(~(F.col("id").isin("0", "1") & (X.strip(F.coalesce("value", F.lit(""))) == "")))
+    edge = edge_is(F.col("style"), F.col("edge"), F.nullif("source", F.lit("")), F.nullif("target", F.lit("")))
+    return c.withColumns({"label": F.nullif(X.squeeze(X.strip_tags(F.col("value"))), F.lit("")), "is_edge": edge, "is_label": edge_label_is(F.col("style"), F.col("connectable"))})
+
+
 def diagram_edges(cells: DataFrame) -> DataFrame:
     """GRF01, JON04, JON05, PRJ13-PRJ15: file, diagram, id, label, source and target labels of each edge.
 
-    An end without a label shows its id, without an id a question mark. The last non-empty label cell of an edge, by
-    position, replaces its own label.
+    An edge cell is an edge even if it also looks like a label. An end without a labelled node shows its id, without an id
+    a question mark. The last non-empty label cell of an edge, by position, replaces its own label.
     """
-    c = cells.where(~(F.col("id").isin("0", "1") & (F.coalesce("value", F.lit("")) == "")))
     where = ["file", "diagram"]
-    text = F.trim(F.regexp_replace(F.regexp_replace("value", "<[^>]+>", " "), r"\s+", " "))
-    c = c.withColumn("label", F.nullif(text, F.lit("")))
-    is_label, is_edge = edge_label_is(F.col("style"), F.col("connectable")), edge_is(F.col("style"), F.col("edge"), F.col("source"), F.col("target"))
-    edges = c.where(is_edge & ~is_label).select(*where, F.col("id").alias("edge_id"), "label", "source", "target")
-    labels = c.where(is_label & F.col("label").isNotNull()).groupBy(*where, F.col("parent").alias("edge_id")).agg(F.max_by("label", "pos").alias("own"))
-    nodes = c.where(~is_edge & ~is_label).select(*where, F.col("id").alias("node"), F.col("label").alias("node_label"))
+    c = _cells(cells)
+    last = F.max_by(F.struct("label", "source", "target"), "pos").alias("e")
+    edges = c.where("is_edge").groupBy(*where, F.col("id").alias("edge_id")).agg(last).select(*where, "edge_id", "e.*")
+    labels = c.where("NOT is_edge AND is_label AND label IS NOT NULL").groupBy(*where, F.col("parent").alias("edge_id")).agg(F.max_by("label", "pos").alias("own"))
+    nodes = diagram_nodes(cells).groupBy(*where, F.col("id").alias("node")).agg(F.max_by("label", "pos").alias("node_label"))
     end = lambda rows, side: rows.join(nodes.withColumnRenamed("node", side).withColumnRenamed("node_label", f"{side}_label"), [*where, side], "left")
     rows = end(end(edges.join(labels, [*where, "edge_id"], "left"), "source"), "target")
-    name = lambda side: F.coalesce(f"{side}_label", side, F.lit("?")).alias(side)
+    name = lambda side: F.coalesce(f"{side}_label", F.nullif(side, F.lit("")), F.lit("?")).alias(side)
     return rows.select(*where, "edge_id", F.coalesce("own", "label").alias("label"), name("source"), name("target"))
 
 
 def diagram_nodes(cells: DataFrame) -> DataFrame:
-    """GRF01: file, diagram, id, label, shape of each node."""
-    c = cells.where(~(F.col("id").isin("0", "1") & (F.coalesce("value", F.lit("")) == "")))
-    node = ~edge_is(F.col("style"), F.col("edge"), F.col("source"), F.col("target")) & ~edge_label_is(F.col("style"), F.col("connectable"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("value", "<[^>]+>", " "), r"\s+", " "))
-    return c.where(node).select("file", "diagram", "id", text.alias("label"), shape(F.col("style")).alias("shape"))
+    """GRF01, PRJ12: file, diagram, id, pos, label, shape of each node: cells with a label that aren't edges, nor labels of an edge of their diagram."""
+    where = ["file", "diagram"]
+    c = _cells(cells)
+    edges = c.where("is_edge").select(*where, F.col("id").alias("parent"), F.lit(True).alias("of_edge")).distinct()
+    rows = c.where("NOT is_edge AND label IS NOT NULL").join(edges, [*where, "parent"], "left").where("NOT (is_label AND of_edge IS NOT NULL)")
+    return rows.select(*where, "id", "pos", "label", shape(F.col("style")).alias("shape"))

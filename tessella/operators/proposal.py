@@ -63,3 +63,11 @@ def question_rules(questions: DataFrame, least: int = 15, most: int = 25) -> Dat
     q = F.lower(F.trim("question"))
     g = questions.groupBy("survey").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct(q)).alias("duplicates"))
     return g.withColumn("ok", F.col("n").between(least, most) & (F.col("duplicates") == 0))
+
+
+def merged_concerns(*reports: DataFrame, by: str = "concern") -> DataFrame:
+    """SET07: the concerns of several reports, each once."""
+    out = reports[0].select(by)
+    for more in reports[1:]:
+        out = out.unionByName(more.select(by))
+    return out.distinct()

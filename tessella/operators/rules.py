@@ -128,15 +128,24 @@ def high_stakes(domain: Column, domains: tuple[str, ...]) -> Column:
 
 
 #: fixed values: rule tables by key
-DEPTHS = [("simple", "L0-L2"), ("moderate", "L0-L3"), ("complex", "L0-L4"), ("critical", "L0-L4+consequences")]  # PRJ32
-PRIORITIES = [("requirements", 1), ("architecture", 2), ("data", 3), ("process", 4), ("other", 5)]  # PRJ33
+DEPTHS = [("simple", "L0-L2"), ("complicated", "L0-L3"), ("complex", "L0-L4"), ("chaotic", "L0-L4 + consequences")]  # PRJ32: domain, expansion levels
+PRIORITIES = [("requirements", 1, "full read"), ("architecture", 2, "targeted read and images"), ("spreadsheets", 3, "one converter"), ("slide decks", 4, "both converters and images"), ("supporting", 5, "targeted read")]  # PRJ33
 STRATEGIES = [("Fact", "revision"), ("Concept", "revision"), ("Procedure", "revision"), ("Ontology", "revision"), ("Narrative", "immutable")]  # PRJ34
-DEPTH_ROWS = [("quick", 1, 2, 1, 1, 7), ("standard", 3, 5, 2, 3, 7), ("deep", 5, 8, 3, 5, 10), ("maximum", 5, 8, 3, None, 10)]  # PRJ38
+DEPTH_ROWS = [("quick", 1, 2, 1, 1, 7), ("standard", 3, 5, 2, 3, 7), ("deep", 5, 8, 3, 5, 10), ("maximum", 5, 8, None, None, 10)]  # PRJ38: queries from, to, rounds from, to (until convergence: null), agents
 ARTIFACTS = [("simple", "Fact,Procedure", "categorize"), ("complicated", "Procedure,Concept", "analyze"), ("complex", "Concept,Narrative", "probe"), ("chaotic", "Narrative", "act")]  # PRJ41
-INPUTS = [("repository", "readme,config,ci"), ("specification", "normative,conformance"), ("brief", "text,signals"), ("transcript", "statements,hedges"), ("mixed", "each")]  # PRJ44
-GAPS = [("information", "GAP"), ("contradiction", "CTR"), ("ambiguity", "AMB"), ("external", "EXT")]  # PRJ47
-BUDGETS = [("tight", 2, 3), ("standard", 3, 5), ("generous", 5, 10)]  # PRJ55
-HANDOFFS = [("predictable", "full_cascade"), ("adaptive", "one_step"), ("unknown", "unsealing"), ("cyclic", "cached_delta")]  # PRJ56
+INPUTS = [("repository", "files beyond the readme"), ("specification", "normative sections"), ("product brief", "text and signals"), ("transcript", "statements and hedges"), ("mixed", "each source by itself")]  # PRJ44
+FRAMEWORKS = [
+    ("pharma", "GxP, FDA 21 CFR Part 11, EU Annex 11, ALCOA+"), ("medical devices", "FDA QSR, ISO 13485, IEC 62304"), ("financial systems", "SOX, PCI-DSS"),
+    ("healthcare data", "HIPAA, HITECH"), ("eu data processing", "GDPR"), ("general software", "N/A"),
+]  # fmt: skip  # PRJ46
+GAPS = [("information", "GAP"), ("contradiction", "CTR"), ("ambiguity", "AMB"), ("external", "EXT")]  # PRJ47; no prefix is stated for external gaps
+PROJECT_TYPES = [
+    ("web applications", "screens, navigation, RBAC, form validation"), ("iot / engineering", "sensor flows, edge processing, telemetry"), ("enterprise integration", "interface contracts, mapping rules, retry logic"),
+    ("mobile applications", "platform capabilities, offline sync, push"), ("data platforms", "dashboards, KPIs, ETL/ELT, data quality"), ("managed services", "SLA definitions, monitoring, DR procedures"),
+    ("low-code / dashboards", "widget types, filters, real-time updates"), ("proof of concept", "minimum viable feature set, success metrics"),
+]  # fmt: skip  # PRJ51
+BUDGETS = [("tight", 2, 3, 4, 6), ("standard", 3, 5, 6, 10), ("generous", 5, 10, 10, 20)]  # PRJ55: iterations from, to, agents from, to
+HANDOFFS = [("predictable", "full cascade"), ("adaptive", "one-step"), ("unknown", "unsealing"), ("cyclic", "cached + delta")]  # PRJ56
 DETAIL = [("capable", "skeleton"), ("limited", "full"), ("structured", "parameterized"), ("complex", "enriched")]  # PRJ56
 
 
@@ -208,7 +217,7 @@ def merge_finding(url: Column, tier: Column, contradicts: Column) -> Column:
 
 
 def framework(rows: DataFrame, table: DataFrame, key: str, value: str, default: str = "N/A") -> DataFrame:
-    """PRJ46, PRJ51: looks a key up in a rule table; rows without a match get the default."""
+    """PRJ32, PRJ33, PRJ38, PRJ41, PRJ44, PRJ46, PRJ47, PRJ51, PRJ55, PRJ56: looks a key up in a rule table; rows without a match get the default in `value`."""
     return rows.join(F.broadcast(table), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +14,12 @@ MIN_BYTES, MAX_BYTES, MIN_PIXELS, MAX_PIXELS, GOOD_PIXELS = 10 * 1024, 20 * 1024
 #: fixed values: keys that front matter may have; what packages leave out
 ALLOWED_KEYS = ("name", "description", "license", "allowed-tools", "metadata", "compatibility")
 PACKAGE_DIRS, PACKAGE_ROOT_DIRS, PACKAGE_FILES = ("__pycache__", "node_modules"), ("evals",), (".DS_Store",)
-#: fixed values: extensions shown as text and as images, and media types that differ from the common table
+#: fixed values: extensions shown as text and as images, and media types that go before the common table
 TEXTS = (".txt", ".md", ".json", ".csv", ".py", ".js", ".ts", ".tsx", ".jsx", ".yaml", ".yml", ".xml", ".html", ".css", ".sh", ".rb", ".go", ".rs", ".java", ".c", ".cpp", ".h", ".hpp", ".sql", ".r", ".toml")
 IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp")
 MEDIA = {
-    ".svg": "image/svg+xml", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".webp": "image/webp", ".pdf": "application/pdf", ".html": "text/html", ".txt": "text/plain", ".md": "text/markdown", ".json": "application/json", ".csv": "text/csv", ".zip": "application/zip",
-    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    ".svg": "image/svg+xml", ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
 }
 
 
@@ -89,10 +91,22 @@ def too_long(description: Column, most: int = 1024) -> Column:
     return F.char_length(description) > most
 
 
+def media_types() -> dict[str, str]:
+    """STR12: media types by extension: the standard library's table, without the machine's own files, under MEDIA."""
+    return mimetypes.MimeTypes(()).types_map[True] | MEDIA
+
+
 def media_type(path: Column) -> Column:
-    """STR12."""
-    table = F.create_map(*[F.lit(x) for p in MEDIA.items() for x in p])
-    return F.coalesce(F.try_element_at(table, F.lower(X.suffix(path))), F.lit("application/octet-stream"))
+    """STR12: by the extension; of a compressed file by the one before, as the standard library does."""
+    known = mimetypes.MimeTypes(())
+    table = F.create_map(*[F.lit(x) for p in media_types().items() for x in p])
+    whole = F.create_map(*[F.lit(x) for p in known.suffix_map.items() for x in p])
+    last = F.lower(X.suffix(path))
+    inner = F.concat(X.stem(path), F.coalesce(F.try_element_at(whole, last), X.suffix(path)))  # .tgz stands for .tar.gz
+    packed = F.lower(X.suffix(inner)).isin(*[e.lower() for e in known.encodings_map])
+    name = F.when(packed, X.stem(inner)).otherwise(inner)
+    kind = F.when(last.isin(*MEDIA), F.try_element_at(table, last)).otherwise(F.try_element_at(table, F.lower(X.suffix(name))))
+    return F.coalesce(kind, F.lit("application/octet-stream"))
 
 
 def embed_kind(path: Column) -> Column:
@@ -146,6 +160,16 @@ def ordered_runs(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.asc_nulls_last("eval_id"), "run_id")
 
 
+def placed_runs(runs: DataFrame, bins: int = 64) -> DataFrame:
+    """SRT02: adds place, from 1, by eval id (none last) and run id. Ranges by quantiles of eval ids sort on their own; equal eval ids share a range."""
+    cuts = F.coalesce(F.percentile_approx("eval_id", F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(1000)), F.array().cast("array<long>"))
+    ranged = runs.join(F.broadcast(runs.agg(cuts.alias("cuts"))), how="cross").withColumn("range", F.when(F.col("eval_id").isNull(), bins).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("eval_id"))))).drop("cuts")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # at most bins + 1 rows
+    place = F.row_number().over(Window.partitionBy("range").orderBy("eval_id", "run_id"))
+    return ranged.withColumn("place", place).join(F.broadcast(before), "range").select(*runs.columns, (F.col("place") + F.col("before")).cast("long").alias("place"))
+
+
 def valid_feedback(body: Column) -> Column:
     """SNK08: a JSON object with reviews."""
     return F.coalesce(F.get_json_object(body, "$.reviews").isNotNull() & F.startswith(F.trim(body), F.lit("{")), F.lit(False))

@@ -42,13 +42,13 @@ def w2_config_label(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, round(avg(l_extendedprice), 4) AS mean_price FROM lineitem GROUP BY ALL")
 def w2_rounded_means(spark, sf):
     """MTH01."""
-    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean_price"))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(V.rounded(F.avg("l_extendedprice"), 4).alias("mean_price"))
 
 
 @query("""SELECT array_to_string(list(DISTINCT user_id ORDER BY user_id), ',') AS ids, CAST(count(DISTINCT user_id) AS BIGINT) AS n, event_type FROM events GROUP BY event_type""")
 def w2_eval_ids(spark, sf):
     """AGG04, Q4."""
-    g = table(spark, sf, "events").groupBy("event_type").agg(F.array_sort(F.collect_set("user_id")).alias("s"))
+    g = table(spark, sf, "events").groupBy("event_type").agg(V.distinct_values("user_id").alias("s"))
     return g.select("event_type", F.array_join(F.col("s").cast("array<string>"), ",").alias("ids"), F.size("s").cast("long").alias("n"))
 
 
@@ -167,14 +167,15 @@ def w3_description_guard(spark, sf):
     return table(spark, sf, "documents").select("doc_id", too_long(F.col("text")).alias("too_long"), X.cut(F.col("text"), 60).alias("shown"))
 
 
-@query("""WITH a AS (SELECT l_suppkey AS assertion, l_returnflag = 'A' AS one, l_quantity > 45 - (l_suppkey % 3) * 22 AS passed FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity > 25)
+@query("""WITH a AS (SELECT l_suppkey AS assertion, l_returnflag = 'A' AS one, l_quantity > CASE l_suppkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 100 WHEN 2 THEN CASE l_returnflag WHEN 'A' THEN 0 ELSE 100 END WHEN 3 THEN CASE l_returnflag WHEN 'A' THEN 100 ELSE 0 END ELSE 25 END AS passed FROM lineitem)
 SELECT assertion, CASE WHEN bool_and(passed) FILTER (one) AND bool_and(passed) FILTER (NOT one) THEN 'always_pass' WHEN NOT bool_or(passed) FILTER (one) AND NOT bool_or(passed) FILTER (NOT one) THEN 'always_fail'
  WHEN bool_and(passed) FILTER (one) AND NOT bool_or(passed) FILTER (NOT one) THEN 'only_first' WHEN NOT bool_or(passed) FILTER (one) AND bool_and(passed) FILTER (NOT one) THEN 'only_second' ELSE 'variable' END AS pattern FROM a GROUP BY assertion""")
 def w3_assertion_patterns(spark, sf):
-    """AGG13."""
-    l = table(spark, sf, "lineitem").where("l_returnflag IN ('A', 'R') AND l_quantity > 25")
-    rows = l.select(F.col("l_suppkey").alias("assertion"), F.col("l_returnflag").alias("configuration"), F.expr("l_quantity > 45 - (l_suppkey % 3) * 22").alias("passed"))
-    return E.assertion_patterns(rows, "A", "R")
+    """AGG13: suppliers are assertions; those of each rest by five have a pattern of their own."""
+    one, kind = F.col("l_returnflag") == "A", F.col("l_suppkey") % 5
+    least = F.when(kind == 0, 0).when(kind == 1, 100).when(kind == 2, F.when(one, 0).otherwise(100)).when(kind == 3, F.when(one, 100).otherwise(0)).otherwise(25)
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("assertion"), F.when(one, "first").otherwise("second").alias("configuration"), (F.col("l_quantity") > least).alias("passed"))
+    return E.assertion_patterns(rows, "first", "second")
 
 
 @query("""SELECT event_id, coalesce(abs((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0)) > 2, false) AS is_outlier FROM events WINDOW w AS (PARTITION BY user_id)""")

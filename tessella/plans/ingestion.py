@@ -58,7 +58,15 @@ def w1_orphan_children(spark, sf):
     """JON03, Q11, Q12: a customer is an archive, its orders are the children."""
     o = table(spark, sf, "orders")
     archives = o.groupBy(F.concat(F.lit("c"), "o_custkey").alias("key")).agg(F.collect_list(F.concat(F.lit("o"), "o_orderkey")).alias("archive_contents"))
-    return I.orphan_closure(archives, archives.where(F.size("archive_contents") > 12), depth=1)
+    return I.orphan_closure(archives, archives.where(F.size("archive_contents") > 12))
+
+
+@query("""WITH RECURSIVE o(key, n) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey IN (3, 5) UNION SELECT p_partkey, n + 1 FROM o JOIN part ON p_partkey // 2 = o.key AND p_partkey > 1) SELECT DISTINCT key FROM o""")
+def w1_nested_orphans(spark, sf):
+    """JON03: parts are archives in archives, to any depth; those of part 3 and 5 are gone."""
+    p = table(spark, sf, "part").where("p_partkey > 1")
+    m = p.groupBy(F.floor(F.col("p_partkey") / 2).cast("long").alias("key")).agg(F.collect_list("p_partkey").alias("archive_contents"))
+    return I.orphan_closure(m, spark.createDataFrame([(3,), (5,)], "key long"), compat=True)
 
 
 @query("""SELECT status, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN status IN ('complete','markdown_only','images_only') THEN 1 ELSE 0 END) AS BIGINT) AS succeeded FROM
@@ -131,31 +139,29 @@ def w1_path_prune_classify(spark, sf):
 @query("""SELECT o_custkey, array_to_string(list_slice(list(o_orderkey ORDER BY o_orderkey), 1, 3), ',') AS listed, CAST(greatest(0, count(*) - 3) AS BIGINT) AS more FROM orders GROUP BY o_custkey""")
 def w1_index_listing(spark, sf):
     """SNK03, LIM01."""
-    g = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("images"))
-    return I.index_listing(g).select("o_custkey", F.array_join(F.col("listed").cast("array<string>"), ",").alias("listed"), "more")
+    rows = I.index_listing(table(spark, sf, "orders"), "o_custkey", "o_orderkey")
+    return rows.select("o_custkey", F.array_join(F.col("listed").cast("array<string>"), ",").alias("listed"), "more")
 
 
 @query("SELECT DISTINCT source AS key FROM documents UNION SELECT DISTINCT lang FROM documents")
 def w1_current_keys(spark, sf):
     """SET01, SET02."""
     d = table(spark, sf, "documents")
-    return d.select(F.col("source").alias("key")).unionByName(d.select(F.col("lang").alias("key"))).distinct()
+    return I.current_keys(d.select(F.col("source").alias("key")), d.select(F.col("lang").alias("key")))
 
 
-@query("""SELECT DISTINCT a.source AS dir, a.stem AS video, b.stem AS subtitle FROM (SELECT source, substr(text, 1, 60) AS stem FROM documents WHERE doc_id % 2 = 0) a
-JOIN (SELECT source, substr(text, 1, 50) AS stem FROM documents WHERE doc_id % 2 = 1) b ON a.source = b.source AND (a.stem = b.stem OR starts_with(b.stem, substr(a.stem, 1, 40)))""")
-def w1_subtitle_companions(spark, sf):
-    """SRC22."""
-    d = table(spark, sf, "documents")
-    side = lambda r, n: d.where(f"doc_id % 2 = {r}").select(F.col("source").alias("dir"), F.substring("text", 1, n).alias("stem"))
-    return I.companions(side(0, 60), side(1, 50))
+_STEMS = "SELECT s_nationkey % 5 AS dir, repeat('lecture ' || n_name || ' ', 4) || s_suppkey % 7 AS stem, n_name, s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey"
 
 
-@query("""SELECT DISTINCT a.source AS dir, a.text AS video, b.text AS subtitle FROM documents a JOIN documents b ON a.source = b.source AND (a.text = b.text OR starts_with(b.text, substr(a.text, 1, 40)))""")
-def w1_subtitle_companions_whole(spark, sf):
-    """SRC22: every document is a video and a subtitle, and its whole text the stem."""
-    d = table(spark, sf, "documents").select(F.col("source").alias("dir"), F.col("text").alias("stem"))
-    return I.companions(d, d)
+@query(f"""WITH v AS (SELECT dir, CASE WHEN s_suppkey % 3 = 0 THEN n_name ELSE stem END AS stem FROM ({_STEMS})), s AS (SELECT dir, CASE WHEN s_suppkey % 2 = 0 THEN n_name || '.en' ELSE stem END AS stem FROM ({_STEMS}))
+SELECT DISTINCT v.dir, v.stem AS video, s.stem AS subtitle FROM v JOIN s ON v.dir = s.dir AND (v.stem = s.stem OR starts_with(s.stem, substr(v.stem, 1, 40)))""")
+def w1_subtitle_companions(spark, sf):
+    """SRC22: videos and subtitles named after a supplier's nation, with long and with short stems."""
+    rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    stem = F.concat(F.repeat(F.concat(F.lit("lecture "), "n_name", F.lit(" ")), F.lit(4)), (F.col("s_suppkey") % 7).cast("string"))
+    rows = rows.select((F.col("s_nationkey") % 5).alias("dir"), "s_suppkey", "n_name", stem.alias("stem"))
+    videos = rows.select("dir", F.when(F.col("s_suppkey") % 3 == 0, F.col("n_name")).otherwise(F.col("stem")).alias("stem"))
+    return I.companions(videos, rows.select("dir", F.when(F.col("s_suppkey") % 2 == 0, F.concat("n_name", F.lit(".en"))).otherwise(F.col("stem")).alias("stem")))
 
 
 @query("""SELECT d.doc_id AS video FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
@@ -173,30 +179,44 @@ def w1_transcript_order(spark, sf):
     return table(spark, sf, "labels").select("doc_id", I.transcript_source(q & t, q, F.expr("doc_id % 2 = 0")).alias("source"))
 
 
-_STYLE = "CASE WHEN p_size % 5 = 0 THEN 'ellipse;cylinder' WHEN p_size % 5 = 1 THEN 'rhombus' WHEN p_size % 5 = 2 THEN 'edgeStyle=x' WHEN p_size % 5 = 3 THEN 'edgeLabel' ELSE 'x' END"
+_STYLES = "['ellipse;cylinder', 'rhombus;cloud', 'shape=diamond', 'ellipse;cloud', 'cloud;x', 'shape=mxgraph.aws4.ec2', 'shape=mxgraph.azure.vm', 'edgeStyle=x', 'edgeLabel', 'rounded=1']"
+_SHAPES = "['database', 'decision', 'decision', 'actor', 'cloud', 'cloud-service', 'cloud-service', 'component', 'component', 'component']"
 
 
-@query(f"""SELECT p_partkey, CASE WHEN style LIKE '%cylinder%' THEN 'database' WHEN style LIKE '%rhombus%' THEN 'decision' ELSE 'rectangle' END AS shape, style LIKE '%edgeStyle%' OR p_size > 40 AS is_edge, style LIKE '%edgeLabel%' OR p_size = 7 AS is_label
-FROM (SELECT p_partkey, p_size, {_STYLE} AS style FROM part)""")
+@query(f"""SELECT p_partkey, {_SHAPES}[1 + p_size % 10] AS shape, p_size % 10 = 7 OR p_size > 40 AS is_edge, p_size % 10 = 8 OR p_size = 7 AS is_label FROM part""")
 def w1_shapes(spark, sf):
-    """PRJ12-PRJ14: a part's size stands in for attributes."""
-    p = table(spark, sf, "part").withColumn("style", F.expr(_STYLE))
+    """PRJ12-PRJ14: a part's size stands in for attributes; a style for each shape, and some that hold two parts."""
     size = F.col("p_size")
+    p = table(spark, sf, "part").withColumn("style", F.get(F.expr("array" + _STYLES.replace("[", "(").replace("]", ")")), (size % 10).cast("int")))
     return p.select("p_partkey", K.shape(F.col("style")).alias("shape"), K.edge_is(F.col("style"), F.when(size > 40, "1"), F.lit(None), F.lit(None)).alias("is_edge"), K.edge_label_is(F.col("style"), F.when(size == 7, "0")).alias("is_label"))
 
 
-@query("""WITH n AS (SELECT n_nationkey AS id, n_name AS label, n_regionkey AS r FROM nation), e AS (SELECT s_suppkey AS id, s_nationkey AS a, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 3 = 1 THEN 99 ELSE (s_nationkey * 7) % 25 END AS b FROM supplier)
-SELECT 'f' AS file, 'd' AS diagram, 'e' || e.id AS edge_id, CASE WHEN e.id % 4 = 0 THEN 'second' WHEN e.id % 2 = 0 THEN 'own' END AS label, coalesce(x.label, 'n' || e.a, '?') AS source, coalesce(y.label, 'n' || e.b, '?') AS target
-FROM e LEFT JOIN n x ON x.id = e.a LEFT JOIN n y ON y.id = e.b""")
-def w1_diagram_edges(spark, sf):
-    """GRF01, JON04, JON05, PRJ15: nations are nodes, suppliers edges with missing or unknown ends."""
+def _diagram(spark, sf):
+    """Nations are nodes (every sixth without a label), suppliers edges with missing or unknown ends; some edges look like labels. Labels stand on edges, and on nodes, where they are nodes."""
     null = F.lit(None).cast("string")
     cell = lambda pos, id, value, style=null, source=null, target=null, parent=null, connectable=null: [F.lit("f").alias("file"), F.lit("d").alias("diagram"), pos.cast("int").alias("pos"), id.alias("id"), value.alias("value"), style.alias("style"), source.alias("source"), target.alias("target"), parent.alias("parent"), null.alias("edge"), connectable.alias("connectable")]
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
-    key, at = F.col("s_suppkey"), F.col("s_nationkey")
+    key, at, nation = F.col("s_suppkey"), F.col("s_nationkey"), F.col("n_nationkey")
     other = F.when(key % 3 == 0, null).when(key % 3 == 1, "n99").otherwise(F.concat(F.lit("n"), (at * 7 % 25).cast("string")))
-    nodes = n.select(*cell(F.col("n_nationkey"), F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("<b>"), "n_name", F.lit("</b>"))))
-    edges = s.select(*cell(key, F.concat(F.lit("e"), "s_suppkey"), F.when(key % 2 == 0, "own"), F.lit("edgeStyle=a"), F.concat(F.lit("n"), "s_nationkey"), other))
+    style = F.get(F.array(*[F.lit(x) for x in ("ellipse", "cylinder", "diamond", "cloud", "x")]), (nation % 5).cast("int"))
+    nodes = n.select(*cell(nation, F.concat(F.lit("n"), nation), F.when(nation % 6 != 5, F.concat(F.lit("<b>"), "n_name", F.lit("</b>"))), style))
+    edges = s.select(*cell(key, F.concat(F.lit("e"), "s_suppkey"), F.when(key % 2 == 0, "own"), F.lit("edgeStyle=a"), F.concat(F.lit("n"), "s_nationkey"), other, connectable=F.when(key % 5 == 0, "0")))
     mark = lambda off, text: s.where("s_suppkey % 4 = 0").select(*cell(key + off, F.concat(F.lit(f"l{off}-"), "s_suppkey"), F.lit(text), F.lit("edgeLabel"), parent=F.concat(F.lit("e"), "s_suppkey"), connectable=F.lit("0")))
+    loose = n.select(*cell(nation + 3_000_000, F.concat(F.lit("k"), nation), F.lit("note"), F.lit("edgeLabel"), parent=F.concat(F.lit("n"), nation), connectable=F.lit("0")))
     root = spark.createDataFrame([("f", "d", -1, "0")], "file string, diagram string, pos int, id string").select("file", "diagram", "pos", "id", *[null.alias(c) for c in ("value", "style", "source", "target", "parent", "edge", "connectable")])
-    return K.diagram_edges(root.unionByName(nodes).unionByName(edges).unionByName(mark(1_000_000, "first")).unionByName(mark(2_000_000, "second")))
+    return root.unionByName(nodes).unionByName(edges).unionByName(mark(1_000_000, "first")).unionByName(mark(2_000_000, "second")).unionByName(loose)
+
+
+@query("""WITH n AS (SELECT n_nationkey AS id, n_name AS label FROM nation WHERE n_nationkey % 6 <> 5), e AS (SELECT s_suppkey AS id, s_nationkey AS a, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 3 = 1 THEN 99 ELSE (s_nationkey * 7) % 25 END AS b FROM supplier)
+SELECT 'f' AS file, 'd' AS diagram, 'e' || e.id AS edge_id, CASE WHEN e.id % 4 = 0 THEN 'second' WHEN e.id % 2 = 0 THEN 'own' END AS label, coalesce(x.label, 'n' || e.a, '?') AS source, coalesce(y.label, 'n' || e.b, '?') AS target
+FROM e LEFT JOIN n x ON x.id = e.a LEFT JOIN n y ON y.id = e.b""")
+def w1_diagram_edges(spark, sf):
+    """GRF01, JON04, JON05, PRJ13-PRJ15."""
+    return K.diagram_edges(_diagram(spark, sf))
+
+
+@query("""SELECT 'f' AS file, 'd' AS diagram, 'n' || n_nationkey AS id, n_name AS label, ['actor', 'database', 'decision', 'cloud', 'component'][1 + n_nationkey % 5] AS shape FROM nation WHERE n_nationkey % 6 <> 5
+UNION ALL SELECT 'f', 'd', 'k' || n_nationkey, 'note', 'component' FROM nation""")
+def w1_diagram_nodes(spark, sf):
+    """GRF01, PRJ12, PRJ15: labels of nodes are nodes themselves, cells without a label aren't."""
+    return K.diagram_nodes(_diagram(spark, sf)).drop("pos")

@@ -8,6 +8,7 @@ from tessella.functions import text as X
 from tessella.functions import values as V
 from tessella.operators import evals as E
 from tessella.operators import ingest as I
+from tessella.operators import proposal as P
 from tessella.operators import rules as R
 from tessella.operators import validate as C
 from tessella.plans.registry import query, table
@@ -125,10 +126,11 @@ def w3_stream_decision(spark, sf):
     return T.decide(T.parse(start.unionByName(piece(1, '{"skill": "my-')).unionByName(piece(2, 'tool"}')).unionByName(bad)), "my-tool", ("purchase",))
 
 
-@query("SELECT page_id, sha256(html) AS hash, substr(md5(url), 1, 6) AS short FROM pages")
+@query("SELECT page_id, sha256(html) AS hash, CASE WHEN page_id % 3 = 0 THEN 'team' ELSE substr(md5('docs/' || page_id % 5), 1, 6) END || '-' || page_id || '.pdf' AS display FROM pages")
 def w1_hashes(spark, sf):
-    """HSH01, HSH02."""
-    return table(spark, sf, "pages").select("page_id", V.content_hash(F.col("html")).alias("hash"), F.substring(F.md5("url"), 1, 6).alias("short"))
+    """HSH01, HSH02, STR06."""
+    path = F.concat(F.lit("docs/"), (F.col("page_id") % 5).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".pdf"))
+    return table(spark, sf, "pages").select("page_id", V.content_hash(F.col("html")).alias("hash"), X.unique_name(path, F.when(F.col("page_id") % 3 == 0, "team")).alias("display"))
 
 
 @query("SELECT doc_id FROM documents WHERE source = 'src1'")
@@ -163,4 +165,4 @@ def w5_skill_audit(spark, sf):
 def w5_saturation_merge(spark, sf):
     """SET07."""
     a = table(spark, sf, "documents").select(F.col("source").alias("concern"))
-    return a.unionByName(table(spark, sf, "events").select(F.col("event_type").alias("concern"))).distinct()
+    return P.merged_concerns(a, table(spark, sf, "events").select(F.col("event_type").alias("concern")))

@@ -70,21 +70,12 @@ def w5_convergence_class(spark, sf):
     return R.convergence(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("topic"), (1 - F.col("l_discount") * 3).alias("overlap")))
 
 
-@query("""WITH v AS (SELECT conv_id, turn, substr(text, 1, 3) AS text FROM conversations), r AS (SELECT *, lag(turn) OVER (PARTITION BY conv_id, text ORDER BY turn) AS seen FROM v),
-w AS (SELECT conv_id, turn, CASE WHEN seen < turn - 1 THEN 'CYCLE' WHEN turn >= 6 THEN 'TIMEOUT' END AS reason FROM r)
-SELECT conv_id AS solution_id, min(turn) AS iteration, arg_min(reason, turn) AS reason FROM w WHERE reason IS NOT NULL GROUP BY conv_id""")
-def w5_terminations(spark, sf):
-    """WIN09, GRF10."""
-    v = table(spark, sf, "conversations").select(F.col("conv_id").alias("solution_id"), F.col("turn").alias("iteration"), F.substring("text", 1, 3).alias("text"))
-    return R.terminations(v, 6, similarity=F.lit(0.0))
-
-
 @query("""WITH v AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS last, lag(turn) OVER (PARTITION BY conv_id, text ORDER BY turn) AS seen FROM conversations),
 p AS (SELECT *, list_distinct(regexp_split_to_array(lower(text), '\\s+')) AS a, list_distinct(regexp_split_to_array(lower(last), '\\s+')) AS b FROM v),
 w AS (SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'correct because|already handles|doesn''t apply because|intentional design choice|justified by') THEN 'DEFENSE' WHEN last IS NOT NULL AND len(list_intersect(a, b)) > 0.95 * len(list_distinct(list_concat(a, b))) THEN 'CONVERGE' WHEN seen < turn - 1 THEN 'CYCLE' WHEN turn >= 6 THEN 'TIMEOUT' END AS reason FROM p)
 SELECT conv_id AS solution_id, min(turn) AS iteration, arg_min(reason, turn) AS reason FROM w WHERE reason IS NOT NULL GROUP BY conv_id""")
-def w5_terminations_whole(spark, sf):
-    """WIN09, GRF10: whole turns, with the operator's own similarity; w5_terminations sees their first characters alone."""
+def w5_terminations(spark, sf):
+    """WIN09, GRF10: whole turns, with the operator's own similarity."""
     v = table(spark, sf, "conversations").select(F.col("conv_id").alias("solution_id"), F.col("turn").alias("iteration"), "text")
     return R.terminations(v, 6)
 
@@ -102,7 +93,7 @@ def w5_profile_score(spark, sf):
  CASE WHEN o_orderpriority LIKE '1%' AND m > 6 THEN 'refine_all' WHEN o_orderpriority LIKE '1%' THEN 'refine_until_defense' WHEN o_orderpriority LIKE '2%' THEN 'refine_winner' ELSE 'skip' END AS refine, CASE WHEN o_orderpriority LIKE '1%' AND m > 6 THEN 'multi_candidate' WHEN o_orderpriority LIKE '1%' THEN 'single_self_refine' WHEN m = 3 THEN 'tot' WHEN m = 4 THEN 'cod_sot' ELSE 'cot' END AS method
 FROM (SELECT *, o_orderkey % 15 AS m FROM orders)""")
 def w5_cascades(spark, sf):
-    """PRJ26-PRJ30, PRJ49: keys and priorities of orders stand in for the rules' dimensions."""
+    """PRJ26-PRJ30: keys and priorities of orders stand in for the rules' dimensions."""
     m, top = F.col("o_orderkey") % 15, F.startswith("o_orderpriority", F.lit("1"))
     stakes = F.when(top, "high").when(F.startswith("o_orderpriority", F.lit("2")), "medium").otherwise("low")
     state = F.when(F.col("o_orderstatus") == "O", "ABSENT").when(F.col("o_orderstatus") == "P", "PARTIAL").otherwise("PRESENT")
@@ -130,13 +121,6 @@ def w5_decisions(spark, sf):
     )
 
 
-@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'L0-L2' WHEN 'O' THEN 'L0-L4' ELSE 'N/A' END AS depth FROM orders""")
-def w5_dimension_lookup(spark, sf):
-    """PRJ32-PRJ34, PRJ38, PRJ41, PRJ44, PRJ46, PRJ51, PRJ55, PRJ56: a rule table as a broadcast join."""
-    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "simple").when(F.col("o_orderstatus") == "O", "complex").otherwise("other").alias("complexity"))
-    return R.framework(o, R.dimension(spark, R.DEPTHS, "complexity string, depth string"), "complexity", "depth").select("o_orderkey", "depth")
-
-
 @query("""SELECT o_orderkey, round(o_totalprice, 2) AS stated, round(s, 2) AS summed, coalesce(abs(o_totalprice - s) <= 1, false) AS ok FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def w5_reconcile(spark, sf):
     """AGG18."""
@@ -180,15 +164,9 @@ def w5_consensus(spark, sf):
     return P.consensus(table(spark, sf, "documents").select(F.col("source").alias("claim"), F.col("lang").alias("value"), F.concat(F.lit("T"), (F.col("n_chars") % 4 + 1).cast("string")).alias("tier")))
 
 
-@query("""SELECT conv_id AS survey, CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT lower(trim(substr(text, 1, 2)))) AS BIGINT) AS duplicates, count(*) BETWEEN 4 AND 8 AND count(*) = count(DISTINCT lower(trim(substr(text, 1, 2)))) AS ok FROM conversations GROUP BY conv_id""")
-def w5_question_rules(spark, sf):
-    """AGG27."""
-    return P.question_rules(table(spark, sf, "conversations").select(F.col("conv_id").alias("survey"), F.substring("text", 1, 2).alias("question")), 4, 8)
-
-
 @query("""SELECT conv_id AS survey, CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT lower(trim(text))) AS BIGINT) AS duplicates, count(*) BETWEEN 4 AND 8 AND count(*) = count(DISTINCT lower(trim(text))) AS ok FROM conversations GROUP BY conv_id""")
-def w5_question_rules_whole(spark, sf):
-    """AGG27: whole questions; w5_question_rules compares their first characters alone."""
+def w5_question_rules(spark, sf):
+    """AGG27: whole questions."""
     return P.question_rules(table(spark, sf, "conversations").select(F.col("conv_id").alias("survey"), F.col("text").alias("question")), 4, 8)
 
 
@@ -203,11 +181,12 @@ def w5_backlog_links(spark, sf):
     return K.backlog(links, artifacts)
 
 
-@query("SELECT c_custkey AS artifact FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AND c_custkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 300000)")
+@query("SELECT p_partkey AS artifact FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier) AND p_partkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def w5_isolated(spark, sf):
-    """JON15."""
-    rel = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"))
-    return K.isolated(table(spark, sf, "customer").select(F.col("c_custkey").alias("artifact")), rel)
+    """JON15: parts that no relation of suppliers and customers names."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_nationkey").alias("target")).where("source IS NOT NULL")
+    rel = s.select("source", F.col("source").alias("target")).unionByName(table(spark, sf, "orders").select(F.col("o_custkey").alias("source"), F.col("o_custkey").alias("target")))
+    return K.isolated(table(spark, sf, "part").select(F.col("p_partkey").alias("artifact")), rel)
 
 
 @query("""WITH r AS (SELECT DISTINCT o_custkey AS source, o_orderkey % 150 AS target FROM orders) SELECT source, target FROM r WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.source = r.target AND b.target = r.source)""")
@@ -248,15 +227,15 @@ def w5_triple_gaps(spark, sf):
     return K.triple_gaps(t, spark.createDataFrame([("a", "F"), ("a", "O"), ("a", "P")], "type string, relation string"))
 
 
-_TRIPLES = "SELECT DISTINCT o_custkey AS subject, (o_custkey * 7 + o_orderkey) % 1500 AS object, 0.6 AS relevance FROM orders WHERE o_totalprice > 400000"
+_TRIPLES = "SELECT DISTINCT o_custkey AS subject, (o_custkey * 7 + o_orderkey) % 1500 AS object, 0.6 AS relevance FROM orders"
 
 
-@query(f"""WITH RECURSIVE t AS ({_TRIPLES}), w(node, d) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey % 50 = 0 UNION SELECT t.object, w.d + 1 FROM w JOIN t ON t.subject = w.node WHERE w.d < 2)
+@query(f"""WITH RECURSIVE t AS ({_TRIPLES}), w(node, d) AS (SELECT s_suppkey, 0 FROM supplier UNION SELECT t.object, w.d + 1 FROM w JOIN t ON t.subject = w.node WHERE w.d < 2)
 SELECT node, CAST(min(d) AS BIGINT) AS depth FROM w GROUP BY node""")
 def w5_expand(spark, sf):
     """GRF03: relevance 0.6 a step, so two steps stay above 0.3."""
-    t = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("subject"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("object"), F.lit(0.6).alias("relevance")).distinct()
-    seeds = table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node"))
+    t = table(spark, sf, "orders").select(F.col("o_custkey").alias("subject"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("object"), F.lit(0.6).alias("relevance")).distinct()
+    seeds = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
     return K.expand(t, seeds).select("node", F.col("depth").cast("long").alias("depth"))
 
 
@@ -315,7 +294,7 @@ def w5_funnel(spark, sf):
 
 @query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 AND s_acctbal < 5000 THEN 'premise_incomplete' WHEN s_suppkey % 3 = 1 AND s_acctbal < 5000 THEN 'constraint_without_source' WHEN s_suppkey % 3 = 2 AND s_acctbal < 5000 THEN 'mission_sentences' END AS violation FROM supplier WHERE s_acctbal < 5000""")
 def w5_spec_violations(spark, sf):
-    """PRJ45, PRJ48."""
+    """PRJ45."""
     kind = F.get(F.array(*[F.lit(x) for x in ("premise", "constraint", "mission")]), (F.col("s_suppkey") % 3).cast("int"))
     poor = F.col("s_acctbal") < 5000
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), kind.alias("component"), F.when(~poor, "s").alias("source"), F.lit("r").alias("risk"), F.when(poor, "One. Two.").otherwise("One only.").alias("text"))

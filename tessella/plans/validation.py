@@ -76,14 +76,16 @@ def w4_run_id(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.run_id(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")).alias("run_id"))
 
 
-_FILE = "CASE p_size % 6 WHEN 0 THEN 'a.svg' WHEN 1 THEN 'b.PDF' WHEN 2 THEN 'c.xlsx' WHEN 3 THEN 'd.py' WHEN 4 THEN 'e.bin' ELSE 'noext' END"
+_FILES = "['a.svg', 'b.PDF', 'c.xlsx', 'd.py', 'e.zzz', 'noext', 'f.js', 'g.css', 'h.csv', 'i.xml', 'j.md', 'k.html', 'l.json', 'm.tar.gz', 'n.docx', 'o.webp', 'p.txt', 'q.tgz', 'r.pptx', 's.sh']"
+_MIMES = """['image/svg+xml', 'application/pdf', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet', 'text/x-python', 'application/octet-stream', 'application/octet-stream', 'text/javascript', 'text/css', 'text/csv', 'text/xml', 'text/markdown', 'text/html', 'application/json',
+ 'application/x-tar', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'image/webp', 'text/plain', 'application/x-tar', 'application/vnd.openxmlformats-officedocument.presentationml.presentation', 'application/x-sh']"""
+_KINDS = "['image', 'pdf', 'xlsx', 'text', 'binary', 'binary', 'text', 'text', 'text', 'text', 'text', 'text', 'text', 'binary', 'binary', 'image', 'text', 'binary', 'binary', 'text']"
 
 
-@query(f"""SELECT p_partkey, CASE f WHEN 'a.svg' THEN 'image/svg+xml' WHEN 'b.PDF' THEN 'application/pdf' WHEN 'c.xlsx' THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' ELSE 'application/octet-stream' END AS mime,
- CASE f WHEN 'a.svg' THEN 'image' WHEN 'b.PDF' THEN 'pdf' WHEN 'c.xlsx' THEN 'xlsx' WHEN 'd.py' THEN 'text' ELSE 'binary' END AS kind, CASE f WHEN 'noext' THEN 'noext' ELSE substr(f, 1, 1) END AS stem FROM (SELECT p_partkey, {_FILE} AS f FROM part)""")
+@query(f"""SELECT p_partkey, {_MIMES}[1 + p_partkey % 20] AS mime, {_KINDS}[1 + p_partkey % 20] AS kind, CASE p_partkey % 20 WHEN 5 THEN 'noext' WHEN 13 THEN 'm.tar' ELSE substr({_FILES}[1 + p_partkey % 20], 1, 1) END AS stem FROM part""")
 def w4_media_types(spark, sf):
     """STR03, STR12, SRC20."""
-    f = F.expr(_FILE)
+    f = F.get(F.expr("array" + _FILES.replace("[", "(").replace("]", ")")), (F.col("p_partkey") % 20).cast("int"))
     return table(spark, sf, "part").select("p_partkey", C.media_type(f).alias("mime"), C.embed_kind(f).alias("kind"), X.stem(f).alias("stem"))
 
 
@@ -123,19 +125,10 @@ def w4_additive_merge(spark, sf):
     return table(spark, sf, "documents").select("doc_id", merged["tier"].alias("tier"), merged["source_class"].alias("source_class"), F.size(merged).cast("long").alias("n_keys"))
 
 
-@query("""WITH a AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '[^\\w]+')) AS term FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_split_to_array(lower(substr(text, 1, 300)), '[^\\w]+')) AS term FROM documents WHERE lang = 'en')
-SELECT doc, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM a WHERE term <> '' EXCEPT SELECT * FROM b) WHERE regexp_matches(term, '^[a-z]{4,}$') GROUP BY doc""")
-def w4_converter_gaps(spark, sf):
-    """JON21: a document's beginning stands in for the weaker converter."""
-    d = table(spark, sf, "documents").where("lang = 'en'")
-    gaps = C.converter_gaps(d.select(F.col("doc_id").alias("doc"), "text"), d.select(F.col("doc_id").alias("doc"), F.substring("text", 1, 300).alias("text")))
-    return gaps.where((F.col("only_in") == "first") & F.col("term").rlike("^[a-z]{4,}$")).groupBy("doc").agg(F.count("*").alias("n"))
-
-
 @query("""WITH a AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '[^\\w]+')) AS term FROM documents), b AS (SELECT DISTINCT item_id AS doc, unnest(regexp_split_to_array(lower(text), '[^\\w]+')) AS term FROM benchmark),
 g AS (SELECT doc, term, 'first' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT doc, term, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a))
 SELECT doc, only_in, CAST(count(*) AS BIGINT) AS n FROM g WHERE term <> '' GROUP BY doc, only_in""")
-def w4_converter_gaps_whole(spark, sf):
+def w4_converter_gaps(spark, sf):
     """JON21: documents and benchmark items stand in for two converters of the files that their ids name; whole tables, whole texts, both directions."""
     side = lambda name, id: table(spark, sf, name).select(F.col(id).alias("doc"), "text")
     return C.converter_gaps(side("documents", "doc_id"), side("benchmark", "item_id")).groupBy("doc", "only_in").agg(F.count("*").alias("n"))
@@ -150,5 +143,19 @@ def w4_question_order(spark, sf):
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k') IS NOT NULL, false) AS has_k FROM events")
 def w4_valid_json(spark, sf):
-    """SNK08, JSN01."""
+    """JSN01."""
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").isNotNull().alias("has_k"))
+
+
+@query("SELECT event_id, event_id % 4 IN (0, 3) AS valid FROM events")
+def w4_feedback_body(spark, sf):
+    """SNK08: bodies that are objects with reviews, lists, without reviews, and with an empty list of them."""
+    body = F.get(F.array(F.concat(F.lit('{"reviews": ['), "props", F.lit("]}")), F.concat(F.lit('[{"reviews": '), "props", F.lit("}]")), F.concat(F.lit('{"review": '), "props", F.lit("}")), F.lit(' {"reviews": []}')), (F.col("event_id") % 4).cast("int"))
+    return table(spark, sf, "events").select("event_id", C.valid_feedback(body).alias("valid"))
+
+
+@query("SELECT o_orderkey AS run_id, CAST(CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS BIGINT) AS eval_id, row_number() OVER (ORDER BY CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END NULLS LAST, o_orderkey) AS place FROM orders")
+def w4_run_order(spark, sf):
+    """SRT02: places of runs by eval id, those without one last; the report's order, numbered within ranges and moved on by the rows of the ranges before."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")).cast("long").alias("eval_id"))
+    return C.placed_runs(o)

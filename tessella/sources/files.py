@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
+from tessella.operators.ingest import ARCHIVES, KINDS
 
 #: explicit schemas: inference would make strings of fields whose type varies
 GRADING = """expectations ARRAY<STRUCT<id STRING, text STRING, passed BOOLEAN, evidence STRING>>,
@@ -31,6 +33,39 @@ def scan_root(*candidates: str | None) -> str:
     return next((c for c in candidates if c), ".")
 
 
+def put_files(files: DataFrame, folder: str) -> str:
+    """Writes files (path below the folder, content) one by one to any file system that Spark knows: for reports, packages and fixtures, whose number is small.
+
+    They pass through the driver a partition at a time. Larger sets are written as tables.
+    """
+    spark = files.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in files.select("path", F.col("content").cast("binary").alias("content")).toLocalIterator():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(root, r.path), True)
+        try:
+            out.write(r.content)
+        finally:
+            out.close()
+    return folder
+
+
+def relative_to(path: Column, folder: str) -> Column:
+    """A path as listings give it (a URI) below a folder; escapes of the URI stay."""
+    return F.regexp_replace(path, "^" + _uri_pattern(folder), "")
+
+
+def _uri_pattern(folder: str) -> str:
+    bare = re.sub(r"^[a-z]+:/+", "", folder).strip("/")
+    return r"(?:[a-z]+:)?/*" + re.escape(bare) + "/*"
+
+
+def flat_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC03: documents that stand in the folder itself, by extensions in lower or in upper case; mixed case isn't found."""
+    ends = sorted({*KINDS, *ARCHIVES})
+    return read_files(spark, [folder], "*{" + ",".join(x for e in ends for x in (e, e.upper())) + "}", recursive=False)
+
+
 def read_files(spark: SparkSession, roots: list[str], pattern: str | None = None, recursive: bool = True) -> DataFrame:
     """SRC01, SRC03: path, modificationTime, length, content.
 
@@ -63,51 +98,122 @@ def write_manifest(rows: DataFrame, path: str) -> None:
 
 
 def read_gradings(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SRC10-SRC12: gradings with workspace parts from the path; broken files are dropped."""
+    """SRC12: gradings with workspace parts from the path; broken files are dropped."""
     p = F.col("_metadata.file_path")
-    rows = spark.read.schema(GRADING).json(paths, multiLine=True).select("*", p.alias("path"))
+    rows = spark.read.schema(GRADING).option("recursiveFileLookup", "true").option("pathGlobFilter", "grading.json").json(paths, multiLine=True).select("*", p.alias("path"))
     part = lambda i: F.regexp_extract("path", r"/([^/]+)/([^/]+)/(?:run-([^/]+)/)?grading\.json$", i)
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record").withColumns({"eval_dir": part(1), "configuration": part(2), "run_number": F.coalesce(F.expr(r"try_cast(regexp_extract(path, 'run-([^/]+)/grading', 1) AS INT)"), F.lit(1))})
 
 
+def workspace_runs(listing: DataFrame, root: str) -> DataFrame:
+    """SRC10, SRC11: layout, eval_dir, configuration, run, graded of a benchmark workspace, from a listing of its files (path).
+
+    Evaluations stand below runs/ where there is such a directory, else below the root; a configuration is a directory
+    that holds run-* directories, whatever its name.
+    """
+    rows = listing.select(relative_to(F.col("path"), root).alias("p")).withColumn("below", F.startswith("p", F.lit("runs/")))
+    rows = rows.join(F.broadcast(rows.agg(F.coalesce(F.bool_or("below"), F.lit(False)).alias("has_runs"))), how="cross").where("NOT has_runs OR below")
+    rows = rows.withColumn("q", F.when(F.col("below"), F.substring("p", 6, 1 << 30)).otherwise(F.col("p")))
+    part = lambda i: F.regexp_extract("q", r"^(eval-[^/]*)/([^/]+)/(run-[^/]*)/(.+)$", i)
+    rows = rows.select(F.when(F.col("has_runs"), "runs").otherwise("flat").alias("layout"), part(1).alias("eval_dir"), part(2).alias("configuration"), part(3).alias("run"), part(4).alias("file")).where("run <> ''")
+    return rows.groupBy("layout", "eval_dir", "configuration", "run").agg(F.bool_or(F.col("file") == "grading.json").alias("graded"))
+
+
+def read_runs(spark: SparkSession, root: str) -> DataFrame:
+    """SRC13, SRC19, SRC23, STR16, SRT02, WIN05: id, run, eval_id, prompt, outputs, grading of each run directory below the root.
+
+    The prompt is that of the metadata beside the outputs or above, else of a transcript, the first that isn't blank; the
+    grading is the first that is a JSON object with fields.
+    """
+    files = read_files(spark, [root])
+    runs = run_directories(files, listing_root(files, root))
+    small = F.col("path").rlike(r"/(eval_metadata\.json|transcript\.md|grading\.json)$")
+    texts = files.where(small).select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), X.basename(F.col("path")).alias("file"), F.col("content").cast("string").alias("text"))
+    up = F.when(F.col("relative") != "", X.parent(F.col("run"))).otherwise(F.col("run"))
+    places = runs.select("run", "relative", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("run").alias("dir")), F.struct(F.lit(1).alias("at"), up.alias("dir")), F.struct(F.lit(2).alias("at"), F.concat("run", F.lit("/outputs")).alias("dir")))).alias("w")).select("run", "relative", "w.at", "w.dir")
+    found = places.join(texts, "dir", "left")
+    is_file = lambda name: F.col("file") == name
+    meta = F.when(is_file("eval_metadata.json") & (F.col("at") < 2), F.col("text"))
+    said = F.when(is_file("transcript.md") & (F.col("at") != 1), X.transcript_prompt(F.col("text")))
+    grading = F.when(is_file("grading.json") & (F.col("at") < 2) & F.get_json_object("text", "$").rlike(r"^\s*\{\s*\""), F.col("text"))
+    first = lambda value: F.min_by(F.when(X.strip(value) != "", value), F.when(X.strip(value) != "", F.col("at")))
+    facts = found.groupBy("run", "relative").agg(first(F.get_json_object(meta, "$.prompt")).alias("stated"), F.min_by(F.get_json_object(meta, "$.eval_id"), F.when(F.get_json_object(meta, "$.eval_id").isNotNull(), F.col("at"))).alias("eval_id"), first(said).alias("transcribed"), first(grading).alias("grading"))
+    outputs = files.select(F.regexp_extract("path", "^(.*)/outputs/[^/]+$", 1).alias("run")).where("run <> ''").groupBy("run").agg(F.count("*").alias("outputs"))
+    from tessella.operators.validate import first_text
+
+    prompt = first_text(F.col("stated"), F.col("transcribed"), F.lit("(No prompt found)"))
+    return facts.join(outputs, "run", "left").select(X.run_id(F.col("relative")).alias("id"), "run", F.col("eval_id").cast("long").alias("eval_id"), prompt.alias("prompt"), F.coalesce("outputs", F.lit(0)).alias("outputs"), "grading")
+
+
+def listing_root(files: DataFrame, root: str) -> str:
+    """The root as listings spell it."""
+    spark = files.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def read_timings(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = spark.read.schema(TIMING).json(paths, multiLine=True).select("*", F.col("_metadata.file_path").alias("path"))
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
-def run_directories(listing: DataFrame, left_out: tuple[str, ...] = ("node_modules", ".git", "__pycache__", "skill", "inputs")) -> DataFrame:
-    """SRC13: directories with an outputs directory, by their files' paths."""
-    d = listing.where(F.contains("path", F.lit("/outputs/"))).select(F.regexp_extract("path", "^(.*?)/outputs/", 1).alias("run")).distinct()
-    return d.where(~F.arrays_overlap(F.split("run", "/"), F.array(*[F.lit(x) for x in left_out])))
+#: fixed values: directories in which no runs are looked for
+NO_RUNS = ("node_modules", ".git", "__pycache__", "skill", "inputs")
+
+
+def run_directories(listing: DataFrame, root: str, left_out: tuple[str, ...] = NO_RUNS) -> DataFrame:
+    """SRC13: run, relative: directories below root with an outputs directory, by their files' paths.
+
+    The walk ends at the first such directory, so runs within a run's outputs don't count, nor do those below
+    a directory of `left_out`. Only parts below the root are looked at, whatever the root's own path is. An empty relative
+    path is the root itself.
+    """
+    base = root.rstrip("/") + "/"
+    parts = F.split(F.substring("path", len(base) + 1, 1 << 30), "/")
+    dirs = F.slice(parts, 1, F.size(parts) - 1)
+    depth = F.array_position(dirs, "outputs") - 1
+    walked = F.slice(dirs, F.lit(1), F.greatest(F.lit(0), depth).cast("int"))
+    rows = listing.where(F.startswith("path", F.lit(base))).where(depth >= 0).where(~F.arrays_overlap(walked, F.array(*[F.lit(x) for x in left_out])))
+    relative = F.array_join(walked, "/")
+    return rows.select(F.when(relative == "", base.rstrip("/")).otherwise(F.concat(F.lit(base), relative)).alias("run"), relative.alias("relative")).distinct()
+
+
+def _matter(text: Column) -> Column:
+    """The lines between a first line of three dashes and the next such line, as an array; null without either."""
+    lines = F.split(text, "\n")
+    rule = F.transform(lines, lambda x: F.rtrim(F.regexp_replace(x, r"\s+$", "")) == "---")
+    end = F.array_position(F.slice(rule, 2, F.greatest(F.lit(0), F.size(rule) - 1)), True)
+    return F.when(F.get(rule, F.lit(0)) & (end > 0), F.slice(lines, F.lit(2), (end - 1).cast("int")))
 
 
 def frontmatter(text: Column) -> Column:
-    """SRC14: lenient `key: value` lines between rules, as a map; null without front matter. The last of equal keys wins."""
-    inner = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---", 1)
-    lines = F.filter(F.split(inner, "\n"), lambda x: x.rlike(r"^[^\s#:][^:]*:"))
-    pairs = F.transform(lines, lambda x: F.struct(X.strip(F.regexp_extract(x, "^([^:]+):", 1)).alias("k"), F.regexp_replace(X.strip(F.regexp_extract(x, "^[^:]+:(.*)$", 1)), "^[\"']|[\"']$", "").alias("v")))
+    """SRC14: lenient `key: value` lines between rules, however indented, as a map; null without front matter. The last of equal keys wins."""
+    pairs = F.transform(_matter(text), lambda x: F.struct(X.strip(F.substring_index(x, ":", 1)).alias("k"), F.regexp_replace(X.strip(F.regexp_extract(x, "(?s)^[^:]*:(.*)$", 1)), "^[\"']+|[\"']+$", "").alias("v"), F.contains(x, F.lit(":")).alias("is")))
+    pairs = F.filter(pairs, lambda p: p["is"] & (p["k"] != "") & ~F.startswith(p["k"], F.lit("#")))
     once = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.when(text.rlike(r"(?s)^---\n.*?\n---"), F.map_from_entries(once))
+    return F.map_from_entries(F.transform(once, lambda p: F.struct(p["k"], p["v"])))
 
 
 def frontmatter_blocks(df: DataFrame, text: str = "text") -> DataFrame:
-    """SRC15: adds name and description, where > and | scalars run on over indented lines.
+    """SRC15: adds name and description; a description of >, |, >- or |- runs on over lines of two blanks or a tab of indent.
 
-    The part between the rules becomes one array of lines; an aggregate walks it, in the JVM.
+    The part between the rules becomes one array of lines; an aggregate walks it, in the JVM. Empty without front matter.
     """
-    lines = F.split(F.regexp_extract(text, r"(?s)^---\n(.*?)\n---", 1), "\n")
+    lines = F.coalesce(_matter(F.col(text)), F.array().cast("array<string>"))
+    bare = lambda v: F.regexp_replace(F.regexp_replace(v, '^"+|"+$', ""), "^'+|'+$", "")
+    after = lambda x, key: X.strip(F.substring(x, len(key) + 2, 1 << 30))
 
-    def value(key: str) -> Column:
+    def value(key: str, runs_on: bool) -> Column:
         start = F.struct(F.lit(False).alias("on"), F.lit("").alias("v"))
-        head = rf"^{key}:"
+        block = lambda x: after(x, key).rlike("^[>|]-?$") if runs_on else F.lit(False)
         step = lambda s, x: (
-            F.when(x.rlike(head), F.struct(X.strip(F.regexp_extract(x, rf"^{key}:(.*)$", 1)).rlike(r"^[>|][-+]?$").alias("on"), F.regexp_replace(X.strip(F.regexp_extract(x, rf"^{key}:(.*)$", 1)), r"^[>|][-+]?$|^[\"']|[\"']$", "").alias("v")))
-            .when(s["on"] & x.rlike(r"^\s+\S"), F.struct(F.lit(True).alias("on"), F.trim(F.concat(s["v"], F.lit(" "), X.strip(x))).alias("v")))
+            F.when(s["on"] & x.rlike("^(  |\t)"), F.struct(F.lit(True).alias("on"), F.concat_ws(" ", F.when(s["v"] != "", s["v"]), X.strip(x)).alias("v")))
+            .when(F.startswith(x, F.lit(f"{key}:")), F.struct(block(x).alias("on"), F.when(block(x), "").otherwise(bare(after(x, key))).alias("v")))
             .otherwise(F.struct(F.lit(False).alias("on"), s["v"].alias("v")))
         )
         return F.aggregate(lines, start, step, lambda s: s["v"])
 
-    return df.withColumn("name", value("name")).withColumn("description", value("description"))
+    return df.withColumn("name", value("name", False)).withColumn("description", value("description", True))
 
 
 def parse_yaml(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -188,7 +294,7 @@ def diagram_cells(files: DataFrame) -> DataFrame:
     schema = f"diagram array<struct<_name:string,mxGraphModel:struct<root:struct<mxCell:{cell}>>>>"
     parsed = files.select(F.col("path").alias("file"), F.from_xml(F.col("content").cast("string"), schema, {"mode": "PERMISSIVE"}).alias("x"))
     tabs = parsed.select("file", F.posexplode("x.diagram").alias("tab", "d"))
-    rows = tabs.select("file", F.coalesce("d._name", F.concat(F.lit("tab"), (F.col("tab") + 1).cast("string"))).alias("diagram"), F.posexplode("d.mxGraphModel.root.mxCell").alias("pos", "c"))
+    rows = tabs.select("file", F.coalesce("d._name", F.concat(F.lit("Page "), (F.col("tab") + 1).cast("string"))).alias("diagram"), F.posexplode("d.mxGraphModel.root.mxCell").alias("pos", "c"))
     return rows.select("file", "diagram", "pos", *[F.col(f"c._{n}").alias(n) for n in ("id", "value", "style", "source", "target", "parent", "edge", "connectable")])
 
 

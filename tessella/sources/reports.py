@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
+from tessella.functions.values import head_and_rest
 from tessella.operators.validate import left_out_of_package
 
 
@@ -25,6 +26,30 @@ def benchmark_markdown(summary: DataFrame, deltas: DataFrame) -> str:
     return "\n".join(out) + "\n"
 
 
+def benchmark_lines(summary: DataFrame) -> DataFrame:
+    """SNK04, STR09, STR10: configuration, metric, cell: mean and deviation as the report's table shows them; shares in percent, tokens whole."""
+    m, d = F.col("mean"), F.col("stddev")
+    cell = F.when(F.col("metric") == "pass_rate", X.plus_minus(m, d, percent=True)).when(F.col("metric") == "time_seconds", F.format_string("%.1fs ± %.1fs", m, d)).otherwise(F.format_string("%.0f ± %.0f", m, d))
+    return summary.select(X.label(F.col("configuration")).alias("configuration"), "metric", cell.alias("cell"))
+
+
+def index_text(entries: DataFrame) -> DataFrame:
+    """SNK03, LIM01: key, text: a manifest entry's part of the index. entries: key, entry (a struct as manifests have it)."""
+    e = lambda f: F.col(f"entry.{f}")
+    line = lambda name, f: F.concat(F.lit(f"- **{name}:** "), F.coalesce(e(f), F.lit("unknown")))
+    link = lambda name, f: F.when(e(f) != "", F.concat(F.lit(f"- **{name}:** ["), e(f), F.lit("]("), e(f), F.lit(")")))
+    images, members = F.coalesce(e("images"), F.array().cast("array<string>")), F.coalesce(e("archive_contents"), F.array().cast("array<string>"))
+    shown, more = head_and_rest(images)
+    lines = F.concat(
+        F.array(F.concat(F.lit("### "), "key"), F.lit(""), line("Status", "status"), line("Source", "source"), line("Processed", "processed_at")),
+        F.array_compact(F.array(link("Markitdown", "markitdown"), link("Docling", "docling"), link("Drawio Parsed", "drawio_parsed"), F.when(F.size(images) > 0, F.concat(F.lit("- **Images:** "), F.size(images).cast("string"), F.lit(" WEBP file(s)"))))),
+        F.transform(shown, lambda x: F.concat(F.lit("  - ["), x, F.lit("]("), x, F.lit(")"))),
+        F.array_compact(F.array(F.when(more > 0, F.concat(F.lit("  - … and "), more.cast("string"), F.lit(" more"))), F.when(F.size(members) > 0, F.concat(F.lit("- **Archive contents:** "), F.size(members).cast("string"), F.lit(" document(s)"))))),
+        F.transform(members, lambda x: F.concat(F.lit("  - "), x)),
+    )
+    return entries.select("key", F.concat(F.array_join(lines, "\n"), F.lit("\n\n")).alias("text"))
+
+
 def image_report(checked: DataFrame) -> DataFrame:
     """SNK05, AGG11: a line of text per document with its images and their issues in path order."""
     line = F.concat(F.when(F.col("suitable"), "ok ").otherwise("bad "), "path", F.when(F.size("issues") > 0, F.concat(F.lit(": "), F.array_join("issues", ", "))).otherwise(""))

@@ -313,7 +313,7 @@ def test_companions(spark):
 
 
 def test_listing_sinks(spark):
-    e = I.index_listing(spark.createDataFrame([(["1", "2", "3", "4"],)], "images array<string>")).first()
+    e = I.index_listing(spark.createDataFrame([("d", str(i)) for i in (3, 1, 4, 2)], "doc string, image string"), "doc", "image").first()
     assert e.listed == ["1", "2", "3"] and e.more == 1
     assert one(spark, I.fragment(F.create_map(F.lit("tier"), F.lit("T2")), F.lit("body"))) == ("---\ntier: T2\n---\n\nbody",)
     items = spark.createDataFrame([(" a ", False, 1), (" ", True, 2), ("b", True, 3)], "query string, should_trigger boolean, position int")
@@ -352,3 +352,37 @@ def test_converters(spark):
     assert rows(got.select("path", "converter", "markdown")) == [("a.docx", "second", "hi"), ("b.doc", None, None), ("c.pdf", None, None)]
     images = spark.createDataFrame([("c.pdf", ["1"])], "path string, images array<string>")
     assert rows(with_status(got, images)) == [("a.docx", "markdown_only"), ("b.doc", "failed"), ("c.pdf", "images_only")]
+
+
+def test_chains_of_any_length(spark):
+    """200 versions in a row, a circle and a lost parent; archives in archives, and two that hold each other."""
+    v = spark.createDataFrame([(i, i - 1 if i else None, float(i % 50)) for i in range(200)] + [(500, 501, 0.0), (501, 500, 0.0), (600, 601, 0.0)], "version int, parent int, rate double")
+    assert rows(K.version_tree(v).select("version", "depth", "is_current_best")) == sorted(((i, i, i == 49) for i in range(200)), key=repr)
+    m = spark.createDataFrame([(f"a{i}", [f"a{i + 1}", f"x{i}"]) for i in range(9)] + [("p", ["q"]), ("q", ["p"])], "key string, archive_contents array<string>")
+    gone = spark.createDataFrame([("a6",), ("p",)], "key string")
+    assert rows(I.orphan_closure(m, gone, compat=True)) == [("a6",), ("a7",), ("a8",), ("a9",), ("p",), ("q",), ("x6",), ("x7",), ("x8",)]
+
+
+def test_front_matter_indents(spark):
+    text = "---\nname: 'a'\n  own: 1\n # no: 2\ndescription: |\n  one\n\ttwo\n three\n---\nbody: 3"
+    df = spark.createDataFrame([(text,), ("--\nname: x\n---",), ("---\nname: x",), (None,)], "text string")
+    got = [r.m for r in df.select(S.frontmatter(F.col("text")).alias("m")).collect()]
+    assert got == [{"name": "a", "own": "1", "description": "|"}, None, None, None]
+    r = S.frontmatter_blocks(df).collect()
+    assert (r[0]["name"], r[0]["description"]) == ("a", "one two") and r[1]["name"] == r[3]["name"] == ""
+
+
+def test_places_and_splits_in_ranges(spark):
+    """Places over ranges are those of one sort; a split by bins is that of ranking each stratum."""
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001).cast("string").alias("name"))
+    got = {r["name"]: r.place for r in E.placed(df, "name", bins=16, sample=100).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(got))}
+    runs = spark.createDataFrame([(i, i % 7 if i % 5 else None) for i in range(300)], "run_id long, eval_id long")
+    got = [r.run_id for r in C.placed_runs(runs, 4).orderBy("place").collect()]
+    assert got == sorted(range(300), key=lambda i: (i % 5 == 0, i % 7 if i % 5 else 0, i))
+    import hashlib
+
+    split = {r.k: r.split for r in E.stratified_split(spark.range(500).select(F.col("id").alias("k"), F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("s")), "k", "s", digits=1).collect()}
+    for s in (0, 1, 2):
+        order = sorted((k for k in range(500) if k % 3 == s), key=lambda k: (hashlib.md5(f"{k}-42".encode()).hexdigest(), k))
+        assert [k for k in order if split[k] == "test"] == order[: int(len(order) * 0.4)]

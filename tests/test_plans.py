@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessella.operators.ingest import companions
 from tessella.plans.registry import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -67,9 +68,9 @@ def test_rules_over_whole_turns(spark, tmp_path):
             if i >= 6:
                 return i, "TIMEOUT"
 
-    got = {r.solution_id: (r.iteration, r.reason) for r in QUERIES["w5_terminations_whole"](spark, tmp_path).collect()}
+    got = {r.solution_id: (r.iteration, r.reason) for r in QUERIES["w5_terminations"](spark, tmp_path).collect()}
     assert got == {c: e for c, x in turns.items() if (e := end(x))} and {e[1] for e in got.values()} == {"DEFENSE", "CONVERGE", "CYCLE", "TIMEOUT"}
-    got = {r.survey: (r.n, r.duplicates, r.ok) for r in QUERIES["w5_question_rules_whole"](spark, tmp_path).collect()}
+    got = {r.survey: (r.n, r.duplicates, r.ok) for r in QUERIES["w5_question_rules"](spark, tmp_path).collect()}
     assert got == {c: (len(x), len(x) - len(set(x)), 4 <= len(x) <= 8 and len(x) == len(set(x))) for c, x in turns.items()}
 
 
@@ -82,8 +83,9 @@ def test_whole_tables_on_both_sides(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     a, b = ({(i, w) for i, t, *_ in x for w in (t or "").lower().replace(",", " ").split()} for x in (docs, items))
     want = {(d, s): sum(1 for i, _ in x if i == d) for s, x in (("first", a - b), ("second", b - a)) for d in {i for i, _ in x}}
-    got = {(r.doc, r.only_in): r.n for r in QUERIES["w4_converter_gaps_whole"](spark, tmp_path).collect()}
+    got = {(r.doc, r.only_in): r.n for r in QUERIES["w4_converter_gaps"](spark, tmp_path).collect()}
     assert got == want and {s for _, s in got} == {"first", "second"}
+    sides = [spark.createDataFrame([(s, t) for _, t, _, s in docs], "dir string, stem string")] * 2
     want = {(s, x, y) for _, x, _, s in docs for _, y, _, t in docs if s == t and x and y and (x == y or y.startswith(x[:40]))}
-    got = [tuple(r) for r in QUERIES["w1_subtitle_companions_whole"](spark, tmp_path).select("dir", "video", "subtitle").collect()]
+    got = [tuple(r) for r in companions(*sides).select("dir", "video", "subtitle").collect()]
     assert len(got) == len(set(got)) and set(got) == want and ("s", docs[1][1], docs[2][1]) in want
