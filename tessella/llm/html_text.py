@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from tessella.llm.ragged import NOT_ALNUM, U64, buffers, hashes, lower_ascii, mi
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea svg iframe object select".split())
+SWALLOWS = frozenset("script style textarea iframe".split())
 #: what an opening tag closes if it is still open
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 BLOCK_CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
@@ -27,21 +29,26 @@ BLOCK_CLOSES_P = frozenset("address article aside blockquote div dl fieldset foo
 HEAD = frozenset("head title".split())
 IN_HEAD = HEAD | frozenset("html base basefont bgsound link meta noframes noscript script style template".split())
 
-PATH, WORDS, NUMBERS = 64, 32, 8
-HIDDEN = 16
+PATH, WORDS, NUMBERS = 512, 32, 11
+HIDDEN = 24
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
-_AFTER_TITLE = re.compile(r"<(/?title|/head)\b[^>]*>", re.I)
+#: names on a path that count, from the inside
+NEAR = 12
+
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile("[>\"']")
+_TITLE = re.compile(r"<(/?title|/head)\b", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Block:
-    """One leaf: its text, the names on its path from outside to inside, and the share of its characters that are links."""
+    """One leaf: its text, the NEAR innermost names on its path, how many names the path has, and the share of its characters that are links."""
 
     text: str
     path: tuple[str, ...]
+    depth: int
     linked: float
 
 
@@ -53,13 +60,85 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class _Tags:
+    """The tags of a page from left to right, in time proportional to its length however broken it is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = True  # until a tag isn't closed outside of quotes: from there on quotes are plain
+        self.no_end: set[str] = set()
+
+    def end_of(self, at: int) -> int:
+        """Past the > that closes a tag whose name ends at `at`; -1 if there is none."""
+        page = self.page
+        while self.quotes:
+            m = _STOP.search(page, at)
+            if m is None:
+                break
+            at = m.end()
+            if m[0] == ">":
+                return at
+            close = page.find(m[0], at)
+            at = close + 1 if close >= 0 else at
+        else:
+            return page.find(">", at) + 1 or -1
+        self.quotes = False
+        return page.find(">", at) + 1 or -1
+
+    def next(self, at: int):
+        """(start, end, name or none, whether it closes, attributes) of the next tag, comment or declaration; none at the end."""
+        page = self.page
+        while m := _OPEN.search(page, at):
+            if m[1]:
+                end = page.find("-->", m.end())
+                return m.start(), end + 3 if end >= 0 else len(page), None, False, ""
+            if m[2]:
+                end = page.find(">", m.end()) + 1
+                if end:
+                    return m.start(), end, None, False, ""
+                return None
+            begin = m.end()
+            end = self.end_of(begin)
+            if end < 0:
+                end = page.find(">", begin) + 1
+                if not end:
+                    return None  # no > follows: no tag either
+            return m.start(), end, m[4].lower(), bool(m[3]), page[begin : end - 1]
+        return None
+
+    def close_of(self, tag: str, at: int) -> int:
+        """Past the next end tag of a name; -1 if there is none."""
+        if tag in self.no_end:
+            return -1
+        m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.page, at)
+        end = self.page.find(">", m.end()) + 1 if m else 0
+        if not end:
+            self.no_end.add(tag)
+        return end or -1
+
+    def title_end(self, at: int) -> int:
+        """Where the end tag of a title stands; -1 if another title or the head's end comes first."""
+        if "title" in self.no_end:
+            return -1
+        m = _TITLE.search(self.page, at)
+        if m is None:
+            self.no_end.add("title")
+        return m.start() if m and m[1].lower() == "/title" else -1
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in order. Lenient: unclosed and stray tags, comments and raw elements are handled."""
+    """The text blocks of a page, in order. Lenient: unclosed and stray tags, comments and raw elements are handled.
+
+    Takes time proportional to the page. An element of RAW that isn't closed hides nothing, but a script, style, iframe or
+    text area does so to the page's end.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open elements, each with the path down to it
+    stack: list[tuple[str, tuple[str, ...], int]] = []  # open elements, each with the path down to it and its length
+    open_ = Counter()
     pieces: list[str] = []
     linked = total = anchors = 0
     head = -1  # where in the stack an open head or title is
+    tags = _Tags(page)
 
     def flush() -> None:
         nonlocal linked, total
@@ -68,11 +147,15 @@ def blocks(page: str) -> list[Block]:
             if "&" in text:
                 text = html.unescape(text)
             text = " ".join(text.split())
-            if text:
-                out.append(Block(text, stack[-1][1] if stack else (), linked / max(1, total)))
+            if text and not (open_["head"] or open_["title"]):
+                out.append(Block(text, *(stack[-1][1:] if stack else ((), 0)), linked / max(1, total)))
             pieces.clear()
         linked = total = 0
 
+    def cut(n: int) -> None:
+        while len(stack) > n:
+            open_[stack.pop()[0]] -= 1
+
     def add(piece: str) -> None:
         nonlocal linked, total
         pieces.append(piece)
@@ -82,25 +165,25 @@ def blocks(page: str) -> list[Block]:
 
     at = 0
     while True:
-        m = _TAG.search(page, at)
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             if at < len(page):
                 add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, end, tag, closing, attributes = found
+        if start > at:
+            add(page[at:start])
+        at = end
+        if tag is None:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if head >= 0 and (tag == "body" if closing else tag not in IN_HEAD):
             flush()
-            del stack[head:]
+            cut(head)
             head, anchors = -1, 0
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not closing and not attributes.endswith("/"):
+                end = tags.close_of(tag, at)
+                at = end if end >= 0 else len(page) if tag in SWALLOWS else at
             if tag not in INLINE:
                 add(" ")
             continue
@@ -112,26 +195,29 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                while stack[-1][0] != tag:
+                    cut(len(stack) - 1)
+                cut(len(stack) - 1)
             anchors = 0
             if len(stack) <= head:
                 head = -1
         elif tag not in VOID:
             closes = CLOSES.get(tag, {"p"} if tag in BLOCK_CLOSES_P else ())
             while stack and stack[-1][0] in closes:
-                stack.pop()
-            if not m[3].endswith("/"):
-                stack.append((tag, (stack[-1][1] if stack else ()) + _names(tag, m[3])))
+                cut(len(stack) - 1)
+            if not attributes.endswith("/"):
+                names = _names(tag, attributes)
+                path, depth = stack[-1][1:] if stack else ((), 0)
+                stack.append((tag, (path + names)[-NEAR:], depth + len(names)))
+                open_[tag] += 1
                 if tag in HEAD and head < 0:
                     head = len(stack) - 1
                 # tags in a title that is closed are its text
-                if tag == "title" and (end := _AFTER_TITLE.search(page, at)) and end[1].lower() == "/title":
-                    at = end.start()
+                if tag == "title" and (end := tags.title_end(at)) >= 0:
+                    at = end
     flush()
-    return [b for b in out if not HEAD & set(b.path)]
+    return out
 
 
 _slots: dict[str, int] = {}
@@ -152,13 +238,13 @@ def vectors(found: list[Block], first: np.ndarray) -> np.ndarray:
     x = np.zeros((n, PATH + WORDS + NUMBERS), np.float32)
     if not n:
         return x
-    paths: dict[tuple[str, ...], int] = {}
-    which = [paths.setdefault(b.path, len(paths)) for b in found]
+    paths: dict[tuple[tuple[str, ...], int], int] = {}
+    which = [paths.setdefault((b.path, b.depth), len(paths)) for b in found]
     table = np.zeros((len(paths), PATH), np.float32)
-    for path, i in paths.items():
-        for depth, name in enumerate(reversed(path[-12:])):
-            table[i, _slot(name)] += 1.0 if depth < 4 else 0.7
-        table[i, PATH - 1] = len(path) / 10
+    for (path, depth), i in paths.items():
+        for near, name in enumerate(reversed(path)):
+            table[i, _slot(name)] += 1.0 if near < 4 else 0.7
+        table[i, PATH - 1] = min(depth, 100) / 10
     x[:, :PATH] = table[which]
     data, offsets = buffers(pa.array([b.text for b in found], pa.string()))
     data = lower_ascii(data)
@@ -183,6 +269,12 @@ def vectors(found: list[Block], first: np.ndarray) -> np.ndarray:
     length = np.diff(np.append(start, n))
     x[:, k + 6] = (np.arange(n) - start[page]) / length[page]
     x[:, k + 7] = first
+    where = np.array(which)
+    same = (where[1:] == where[:-1]) & ~first[1:]
+    x[1:, k + 8] = x[:-1, k + 9] = same
+    # share of the page's text that stands under the same path
+    alike = np.unique(page * len(paths) + where, return_inverse=True)[1]
+    x[:, k + 10] = np.bincount(alike, size)[alike] / np.bincount(page, size)[page]
     return x
 
 
@@ -224,7 +316,7 @@ class Lstm:
     def backward(self, x: np.ndarray, tape: list, d_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         steps, batch, inputs = x.shape
         n = self.hidden
-        dw, db = np.zeros_like(self.w), np.zeros_like(self.b)
+        all_ = np.empty((steps, batch, 4 * n), np.float32)
         dh, dc = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
         for t in range(steps - 1, -1, -1):
             h, c, i, f, o, u, tc, m = tape[t]
@@ -232,13 +324,12 @@ class Lstm:
             dh2, dc2 = dh * m, dc * m
             do = dh2 * tc
             dc2 = dc2 + dh2 * o * (1 - tc * tc)
-            dg = np.hstack([dc2 * u * i * (1 - i), dc2 * c * f * (1 - f), do * o * (1 - o), dc2 * i * (1 - u * u)])
-            dw[:inputs] += x[t].T @ dg
-            dw[inputs:] += h.T @ dg
-            db += dg.sum(0)
+            dg = all_[t] = np.hstack([dc2 * u * i * (1 - i), dc2 * c * f * (1 - f), do * o * (1 - o), dc2 * i * (1 - u * u)])
             dh = dg @ self.w[inputs:].T + dh * (1 - m)
             dc = dc2 * f + dc * (1 - m)
-        return dw, db
+        flat = all_.reshape(-1, 4 * n)
+        before = np.concatenate([step[0] for step in tape])
+        return np.concatenate([x.reshape(-1, inputs).T @ flat, before.T @ flat]), flat.sum(0)
 
 
 class Labeller:
@@ -287,6 +378,7 @@ class Labeller:
         weights = [self.ahead.w, self.ahead.b, self.back.w, self.back.b, self.v, self.v0]
         first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
         n = self.ahead.hidden
+        total = epochs * -(-len(pages) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(pages))
             for k in range(0, len(order), batch):
@@ -306,7 +398,7 @@ class Labeller:
                     np.clip(g, -1, 1, out=g)
                     a += 0.1 * (g - a)
                     b += 0.01 * (g * g - b)
-                    w -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
+                    w -= rate * (1 - (step - 1) / total) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
 
 
 #: fixed values: words that menus, notices, forms and footers are made of, in four languages
@@ -391,6 +483,9 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             else:
                 out.append(leaf("pre", prose(3, 40)))
         body = "".join(out)
+        if chance(0.5):  # nothing but the page around tells what is in it
+            name = pick("", "", attr(word()), attr(word() + word()))
+            return pick(f"<div{name}>{body}</div>", f"<div{name}><div>{body}</div></div>", f"<table{name}><tr><td>{body}</td></tr></table>", f"<td{name}>{body}</td>", f"<section{name}>{body}</section>", f"<center{name}>{body}</center>", body)
         return pick(f"<article>{body}</article>", f"<article>{body}</article>", f"<article{attr('post', 'story')}>{body}</article>", f"<main>{body}</main>", f"<div{attr('content', 'post', 'entry', 'article', 'story', 'text', 'body')}>{body}</div>", f"<main><article>{body}</article></main>", f"<section{attr('article', 'content', 'main')}>{body}</section>")
 
     before = [x for p, x in ((0.4, header), (0.9, menu), (0.3, notice), (0.15, form), (0.5, advert), (0.25, sidebar)) if chance(p)]
@@ -401,7 +496,7 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[str]]:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 500, seed: int = 11) -> Labeller:
+def trained(pages: int = 1600, seed: int = 11) -> Labeller:
     """The labeller trained on `pages` invented pages; the same in each run."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
