@@ -32,7 +32,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return quality.quality(docs, bands=quality.fit_bands(docs, documents(spark, sf_dir, "labels")))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,10 +161,3 @@ def shingle_sets(h: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
 
 def _short(x: np.uint64, w: np.uint64) -> np.uint64:
     return U64((int(x) * int(_SHINGLE_BASE) + int(w) + 1) & 0xFFFFFFFFFFFFFFFF)
-
-
-def code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Code points of each document: its bytes that don't continue a character."""
-    first = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=first[1:])
-    return np.diff(first[offsets])
