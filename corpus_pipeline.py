@@ -1,79 +1,7 @@
-"""A corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents.
-
-Each stage works on all documents that its predecessor kept. All but the last return the columns of
-`documents`; quality and toxicity drop what they reject, near duplicates keep one row of each
-group, mixing drops documents that the mix doesn't take and repeats those that it takes twice.
-"""
+"""A corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents; run() applies them. See tessella.llm.stages."""
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessella.llm import jaccard, mixing, quality, tokens, toxicity
-from tessella.llm.common import documents, stored
-
-TOKENIZER = "byte_bpe_50k.json"
-ROW = "__row"
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands and base rules keep."""
-    return quality.quality(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
-
-
-def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, trained on the labelled ones among docs, doesn't find toxic."""
-    return toxicity.toxicity(docs, documents(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where(~F.col("is_toxic")).select(*docs.columns)
-
-
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """docs with a unique key a row, written before anything joins on it, so that it can't change when a part is computed again."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of similar texts: that of the least id, null ids last; of equal ids, any one row.
-
-    Rows are told apart by a key of their own, so repeated and null ids lose and keep no row that they shouldn't.
-    """
-    docs = with_row_key(docs)
-    classes = jaccard.jaccard_join(docs, id=ROW).withColumnRenamed("component_id", "__component")
-    ids = docs.select(ROW, "doc_id").join(classes.where("n_shingles > 0"), ROW)
-    # unique keys make groups of one row: only groups of more have rows to drop
-    least = ids.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("__kept"), F.count("*").alias("__size")).where("__size > 1")
-    gone = ids.join(least, "__component").where(F.col(ROW) != F.col("__kept")).select(ROW)
-    return docs.join(gone, ROW, "left_anti").drop(ROW)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, row by row."""
-    docs = with_row_key(docs)
-    plan = mixing.mix(docs, documents(spark, sf_dir, "labels"), row=ROW).where("n_copies > 0").select(ROW, F.col("n_copies").alias("__copies"))
-    taken = docs.join(plan, ROW)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop(ROW, "__copies", "__copy")
-
-
-def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of each document, as digests."""
-    return tokens.encode_digest(docs, public_tokenizers.path(TOKENIZER))
-
-
-STAGES = [
-    ("quality rules", quality_rules),
-    ("toxicity", toxic_documents),
-    ("near duplicates", near_duplicates),
-    ("mixing", mix_sources),
-    ("bpe", bpe_round_trip),
-]
-
-#: The stages train, compress and tokenize, which SQL can't express.
-ORACLE_SQL = None
-
+from tessella.llm.stages import ORACLE_SQL, STAGES, bpe_round_trip, mix_sources, near_duplicates, quality_rules, run, toxic_documents
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "bpe_round_trip", "mix_sources", "near_duplicates", "quality_rules", "run", "toxic_documents"]
