@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import ship, widened
@@ -29,10 +30,12 @@ NOTICES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 K = 2
-#: diagonals so near to each other count as one
-DRIFT = 2
-#: share of a notice's k-grams that a merged diagonal must match
+#: how far the diagonals of one notice may lie apart: words put in and left out between its first and its last
+SPREAD = 8
+#: share of a notice's k-grams that must be verified in order
 LEAST = 0.8
+#: k-grams that travel in a row
+PIECE = 4096
 
 
 def _grams(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,54 +66,118 @@ def templates(base=BASE, notices=NOTICES, k: int = K) -> list[tuple]:
     return out
 
 
-def scan(df: DataFrame, text: str = "text", id: str = "doc_id", base=BASE, notices=NOTICES, k: int = K, drift: int = DRIFT, least: float = LEAST) -> DataFrame:
-    """License labels of every whole text: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+def in_order(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of (text position, template position) in which both rise."""
+    ends: list[int] = []  # least template position that a run of each length ends with
+    last: list[int] = []
+    before = [-1] * len(hits)
+    hits = sorted(hits, key=lambda x: (x[0], -x[1]))
+    for i, (_, at) in enumerate(hits):
+        j = bisect.bisect_left(ends, at)
+        ends[j : j + 1] = [at]
+        last[j : j + 1] = [i]
+        before[i] = last[j - 1] if j else -1
+    out = []
+    i = last[-1] if last else -1
+    while i >= 0:
+        out.append(hits[i])
+        i = before[i]
+    return out[::-1]
+
+
+def verify(hits: list[tuple[int, int, bool]], size: int, k: int = K, least: float = LEAST) -> tuple[int, int, float] | None:
+    """(first word, last word, share of the template's k-grams) of a span, if it holds.
+
+    hits: text position, template position, whether the second hash agrees. Of those that agree, enough must stand in the
+    template's order, and the span must not be longer than the template by more than the share that may be missing.
+    """
+    run = in_order([(p, t) for p, t, ok in hits if ok])
+    while run and len(run) >= least * size:
+        first, last = run[0][0], run[-1][0] + k - 1
+        if last - first + 1 <= (size + k - 1) * (2 - least) + 1:
+            return first, last, len(run) / size
+        # a stray hit far off at either end makes a span too long
+        run = run[1:] if run[1][0] - run[0][0] > run[-1][0] - run[-2][0] else run[:-1]
+    return None
+
+
+def find_spans(df: DataFrame, text: str = "text", id: str = "doc_id", base=BASE, notices=NOTICES, k: int = K, spread: int = SPREAD, least: float = LEAST) -> DataFrame:
+    """Spans of license texts: __row, __id, n_words, label, is_base, first_word, last_word, share; and for each text a row without a label.
 
-    Diagonal voting: each text's k-gram hashes are joined to those of the templates; a hit votes for the
-    diagonal text position - template position. A diagonal with all of a base phrase's votes is a place
-    of it. For notices, diagonals at most `drift` apart merge, and a merged one counts if it matches at least
-    `least` of the notice's different k-grams. Spans are verified by a second, independent hash of each k-gram.
-    score is the best matched share of any label, 0 if there is none. Rows are told apart by a row
-    number, so repeated and null ids give a row each. Null and empty texts have no words and labels.
-    The templates are a fixed list, so broadcasting them has a known bound; what is shuffled are hits alone.
+    Diagonal voting: every k-gram hash of a text is joined to the templates' positions; a hit votes for the diagonal
+    text position - template position. A base phrase stands where its diagonal has all votes. Of a notice, the
+    diagonals in a stretch of 2 * `spread` merge (stretches overlap by half, so diagonals within `spread` meet in one of
+    them), and what they hold, at most a hit for each diagonal and template position, is verified: by a second, independent
+    hash of each k-gram, by order and by length. A span may be found in two stretches.
     """
     spark = ship(df.sparkSession)
     rows = df.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    schema = widened(rows.select("__row", "__id").schema, "n_words int, grams array<struct<g:bigint,c:bigint>>")
+    keys = rows.select("__row", "__id").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, grams, a, c = _grams(b.column(1), k)
-            offsets = np.concatenate([[0], np.cumsum(grams)]).astype(np.int32)
+            pieces = np.maximum(1, -(-grams // PIECE))  # a row for each text at least
+            of = np.repeat(np.arange(len(grams)), pieces)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            size = np.clip(grams[of] - nth * PIECE, 0, PIECE)
             pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(c)], ["g", "c"])
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pairs)], ["__row", "__id", "n_words", "grams"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pairs)
+            words = pa.array(counts[of], pa.int32(), mask=nth > 0)
+            which = pa.array(of)
+            yield pa.RecordBatch.from_arrays([b.column(2).take(which), b.column(0).take(which), words, pa.array((nth * PIECE).astype(np.int32)), lists], ["__row", "__id", "n_words", "start", "grams"])
 
     table = spark.createDataFrame(templates(base, notices, k), "gram long, check long, template int, at int, size int, label string, is_base boolean")
-    words = rows.mapInArrow(run, schema)
-    grams = words.select("__row", "__id", "n_words", F.posexplode_outer("grams").alias("pos", "x"))
-    # the row of the first k-gram, or of none, stands for the text itself
-    grams = grams.select("__row", "__id", "n_words", "pos", F.col("x.g").alias("g"), F.col("x.c").alias("c"))
-    hits = grams.join(F.broadcast(table), (F.col("g") == F.col("gram")) & (F.col("c") == F.col("check")), "left")
-    hits = hits.where(F.col("template").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0))
-    whose = ["__row", "__id", "n_words", "template", "size", "label", "is_base"]
-    votes = hits.groupBy(*whose, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
-    by = Window.partitionBy("__row", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(by) > drift) | F.lag("diagonal").over(by).isNull()
-    merged = votes.withColumn("part", F.sum(apart.cast("int")).over(by))
-    spans_ = merged.groupBy(*whose, "part").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("matched"),
-        F.collect_list(F.when(F.col("is_base") & (F.size("ats") == F.col("size")), F.col("diagonal"))).alias("places"),
-    )
-    share = F.col("matched") / F.col("size")
-    verified = spans_.withColumn("ok", F.when(F.col("is_base"), F.size("places") > 0).otherwise(share >= least)).withColumn("share", F.least(share, F.lit(1.0)))
+    words = rows.mapInArrow(run, widened(keys, "n_words int, start int, grams array<struct<g:bigint,c:bigint>>"))
+    grams = words.select("__row", "__id", "n_words", "start", F.posexplode_outer("grams").alias("i", "x"))
+    grams = grams.select("__row", "__id", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("n_words")).alias("n_words"), (F.col("start") + F.col("i")).alias("pos"), F.col("x.g").alias("g"), F.col("x.c").alias("c"))
+    # the row of the first k-gram, or of none, also stands for the text itself
+    hits = grams.join(F.broadcast(table), F.col("g") == F.col("gram"), "left").where("template IS NOT NULL OR n_words IS NOT NULL")
+    diagonal = F.col("pos") - F.col("at")
+    halves = F.floor(diagonal / spread).cast("int")
+    part = F.when(F.col("template").isNull(), F.array(F.lit(0))).when(F.col("is_base"), F.array(diagonal)).otherwise(F.array(halves, halves - 1))
+    hits = hits.withColumn("part", F.explode(part))
+    hit = F.struct("pos", "at", (F.col("c") == F.col("check")).alias("ok"))
+    groups = hits.groupBy("__row", "__id", "template", "size", "label", "is_base", "part").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("c") == F.col("check")).cast("int").alias("votes"), F.collect_list(F.when(~F.col("is_base"), hit)).alias("hits"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, label, is_base, at, n_words, votes, found = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("size", "label", "is_base", "part", "n_words", "votes", "hits"))
+            spans_: list[tuple] = []
+            for s, x, base_, d, n, v, h in zip(size, label, is_base, at, n_words, votes, found):
+                hold = None
+                if base_ and v == s:
+                    hold = d, d + s + k - 2, 1.0
+                elif base_ is False and v >= least * s:
+                    hold = verify([(y["pos"], y["at"], y["ok"]) for y in h], s, k, least)
+                spans_.append((n, x, base_, *hold) if hold else (n, None, None, None, None, 0.0))
+            kinds = (pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*spans_), kinds))], ["__row", "__id", *_SPAN])
+
+    return groups.select("__row", "__id", "size", "label", "is_base", "part", "n_words", "votes", "hits").mapInArrow(check, widened(keys, "n_words int, label string, is_base boolean, first_word int, last_word int, share double"))
+
+
+_SPAN = ("n_words", "label", "is_base", "first_word", "last_word", "share")
+
+
+def scan(df: DataFrame, text: str = "text", id: str = "doc_id", base=BASE, notices=NOTICES, k: int = K, spread: int = SPREAD, least: float = LEAST) -> DataFrame:
+    """License labels of every whole text: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    find_spans(), by text: places of base phrases are counted, their first words' least and greatest place given;
+    score is the best share of any span, 0 if there is none. Rows are told apart by a row number, so
+    repeated and null ids give a row each. Null and empty texts have no words and labels. The templates are a
+    fixed list, so broadcasting them has a known bound; what is shuffled are hits alone. Other columns aren't read.
+    """
+    found = find_spans(df, text, id, base, notices, k, spread, least)
+    place = F.when(F.col("is_base"), F.col("first_word"))
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    out = verified.groupBy("__row", "__id").agg(
-        F.max("n_words").cast("long").alias("n_words"),
-        F.sum(F.coalesce(F.size("places"), F.lit(0)).cast("long")).alias("n_base"),
-        F.min(F.array_min("places")).cast("long").alias("first_word"),
-        F.max(F.array_max("places")).cast("long").alias("last_word"),
-        listed(F.when(F.col("is_base") & F.col("ok"), F.col("label"))).alias("base_labels"),
-        listed(F.when(F.col("ok"), F.col("label"))).alias("labels"),
-        F.coalesce(F.max(F.when(F.col("ok"), F.col("share"))), F.lit(0.0)).alias("score"),
+    out = found.groupBy("__row", "__id").agg(
+        F.coalesce(F.max("n_words"), F.lit(0)).cast("long").alias("n_words"),
+        F.count(place).alias("n_base"),
+        F.min(place).cast("long").alias("first_word"),
+        F.max(place).cast("long").alias("last_word"),
+        listed(F.when(F.col("is_base"), F.col("label"))).alias("base_labels"),
+        listed("label").alias("labels"),
+        F.max("share").alias("score"),
     )
     return out.select(F.col("__id").alias(id), *out.columns[2:])

@@ -255,6 +255,78 @@ def test_license_notice_with_a_changed_word(spark):
     assert r[0].labels == "mit-text" and 0.8 <= r[0].score < 1 and r[1].labels == ""
 
 
+def test_license_labels_against_brute_force(spark):
+    """Notices with words put in, left out, changed, out of order and spread out, among prose; all diagonals and orders by plain Python."""
+    rng = np.random.default_rng(12)
+    phrases = [*((p, x, True) for p, x in licenses.BASE), *((p, x, False) for p, x in licenses.NOTICES)]
+    filler = lambda n: [f"q{i}" for i in rng.integers(0, 50, n)]
+    texts = {0: None, 1: "", 2: "mit license " * 300, 3: " ".join(["license"] * 400), 4: "permission is hereby granted " * 30}
+    for i in range(5, 160):
+        p, *_ = phrases[rng.integers(len(phrases))]
+        w = p.split()
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(len(w)))
+            kind = rng.integers(4)
+            w = w[:at] + filler(1) + w[at:] if kind == 0 else w[:at] + w[at + 1 :] or w if kind == 1 else w[:at] + filler(1) + w[at + 1 :] if kind == 2 else w[at:] + w[:at]
+        if i % 9 == 0:
+            w = [x for y in w for x in (y, *filler(3))]
+        texts[i] = " ".join(filler(int(rng.integers(0, 30))) + w + filler(int(rng.integers(0, 9))) + (w if i % 4 == 0 else []))
+
+    def longest(hits):
+        best = {}
+        for i, (p, t) in enumerate(hits):
+            best[i] = max(([*best[j], (p, t)] for j in range(i) if hits[j][0] < p and hits[j][1] < t), key=len, default=[(p, t)])
+        return max(best.values(), key=len, default=[])
+
+    def spans(w, phrase):
+        """Whether some stretch of diagonals holds enough of the phrase's word pairs in order and near enough; the best share."""
+        v = phrase.split()
+        pairs = {}
+        for t in range(len(v) - 1):
+            pairs.setdefault((v[t], v[t + 1]), []).append(t)
+        hits = [(p, t) for p in range(len(w) - 1) for t in pairs.get((w[p], w[p + 1]), [])]
+        best = 0.0
+        for h in {(p - t) // licenses.SPREAD - k for p, t in hits for k in (0, 1)}:
+            found = licenses.verify([(p, t, True) for p, t in hits if h <= (p - t) // licenses.SPREAD <= h + 1], len(v) - 1)
+            some = [x for x in hits if h <= (x[0] - x[1]) // licenses.SPREAD <= h + 1]
+            if len(some) < 60:
+                assert len(licenses.in_order(some)) == len(longest(sorted(some)))
+            best = max(best, found[2] if found else 0.0)
+        return best
+
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    several = 0
+    for d, t in texts.items():
+        w = (t or "").split()
+        labels, score = set(), 0.0
+        for phrase, label, is_base in phrases:
+            v = phrase.split()
+            exact = any(w[i : i + len(v)] == v for i in range(len(w)))
+            share = float(exact) if is_base else spans(w, phrase)
+            if share:
+                labels.add(label)
+                score = max(score, share)
+        several += 0 < score < 1
+        assert (got[d].labels, got[d].score) == (",".join(sorted(labels)), score), (d, t)
+    assert several > 10 and got[2].n_base == 300 and got[3].labels == ""
+
+
+def test_license_spans_hold_in_order_alone():
+    v = licenses.verify
+    assert v([(i, i, True) for i in range(10)], 10) == (0, 10, 1.0)
+    assert v([(9 - i, i, True) for i in range(10)], 10) is None  # backwards
+    assert v([(i, i, i % 3 > 0) for i in range(10)], 10) is None  # the second hash says no
+    assert v([(4 * i, i, True) for i in range(10)], 10) is None  # spread out
+    assert v([(i + 3, i, True) for i in range(8)], 10) == (3, 11, 0.8)
+
+
+def test_license_rows_of_long_texts(spark):
+    """A text of several pieces: places behind the first piece count from the text's beginning."""
+    t = "x " * 10_000 + "mit license " + "y " * 5_000 + "cc by"
+    r = licenses.scan(spark.createDataFrame([(1, t), (1, t), (None, None)], "doc_id long, text string")).orderBy("n_words").collect()
+    assert [(x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) for x in r] == [(0, 0, None, None, "")] + [(15_004, 2, 10_000, 15_002, "cc-by,mit")] * 2
+
+
 def brute_components(texts):
     sets = {d: shingles(t) for d, t in texts.items()}
     comp = {d: d for d in texts}
