@@ -114,28 +114,40 @@ def fingerprint(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, kept.add("fingerprint", "string"))
 
 
-def with_next(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
-    """Deals df into slices by descending `order`: each with the first row of the following slice.
+#: bytes of text of a slice, and most slices; rows of a slice stream past, so its size bounds no memory
+SLICE_BYTES, MOST_SLICES = 64 << 20, 4096
 
-    Adds __slice and __guest (true for that extra row). The cuts are approximate quantiles of `order`; the
-    driver holds, and a broadcast carries, two numbers a slice. Rows travel once, the first row of a slice twice.
+
+def slices_for(df: DataFrame, text: str) -> int:
+    """How many slices a table's texts make: they grow with its size, and are as many as shuffle partitions at least."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_SLICES, -(-size // SLICE_BYTES)))
+
+
+def with_next(df: DataFrame, order: str, slices: int) -> DataFrame:
+    """Deals df into slices by descending `order`, a column of any type that sorts: each with the first row of the following slice.
+
+    Adds __slice and __guest (true for that extra row). The cuts are values of some rows, 16 a slice, that are least by
+    hash; the driver holds those, and two values a slice. Rows travel once, the first row of a slice twice.
     """
     spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     value = F.col(order)
-    cuts = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    # slices go downwards: slice 0 holds the values from the greatest cut on, the last those below all cuts, and nulls
+    some = [r["v"] for r in df.select(value.alias("v")).orderBy(F.xxhash64("v")).limit(16 * slices).distinct().orderBy("v").collect()] if slices > 1 else []
+    cuts = [some[i] for i in sorted({len(some) * i // slices for i in range(1, slices)})] if some else []
+    kind = df.schema[order].dataType
+    literal = lambda v: F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(v, kind.fields)])
+    # slices go downwards: slice 0 holds the values from the greatest cut on, the last those below all cuts
     below = F.lit(0)
     if cuts:
+        all_ = F.array(*[literal(c) for c in cuts])
         steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
-        fits = lambda at: (at <= len(cuts)) & (F.get(F.lit(cuts), at - 1) <= value)
+        fits = lambda at: (at <= len(cuts)) & (F.get(all_, at - 1) <= value)
         below = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(fits(at + step), at + step).otherwise(at))
     marked = df.withColumn("__slice", F.lit(len(cuts)) - below)
     heads = sorted((r["__slice"], r["head"]) for r in marked.groupBy("__slice").agg(F.max(value).alias("head")).collect())
     # the head of each slice also goes to the slice before it, that of the first slice to the last
-    kind = df.schema[order].dataType.simpleString()
-    to = spark.createDataFrame([(s, h, heads[i - 1][0]) for i, (s, h) in enumerate(heads)], f"__s int, __head {kind}, __before int")
+    schema = T.StructType().add("__s", T.IntegerType()).add("__head", kind).add("__before", T.IntegerType())
+    to = spark.createDataFrame([(s, h, heads[i - 1][0]) for i, (s, h) in enumerate(heads)], schema)
     marked = marked.join(F.broadcast(to), (F.col("__slice") == F.col("__s")) & value.eqNullSafe(F.col("__head")), "left")
     guest = F.col("__before")
     both = F.filter(
@@ -156,15 +168,17 @@ def fingerprint_edits(df: DataFrame, text: str = "text", order: str = "doc_id",
     """Fingerprints of each text and of its edit with the next text in descending `order`, and how alike they are.
 
     Returns order, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
-    Null texts count as empty: their fingerprint is empty, alike (1) only to empty ones. Equal `order`
-    values follow each other by text; null ones come last. A table of one row is its own next. Other columns are dropped.
+    Null texts count as empty: their fingerprint is empty, alike (1) only to empty ones. `order` is of any type that
+    sorts. Equal values follow each other by descending hash of the text, so they too are dealt into slices; null ones come last.
+    Rows equal in both are alike, and stay in one slice. A table of one row is its own next. Other columns are dropped.
     """
-    spark = ship(df.sparkSession)
+    ship(df.sparkSession)
     docs = df.select(F.col(order).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a guest is the first row of its slice: of several with its id, the first by text is the one used
-    dealt = with_next(docs, "__id", n).repartition(n, "__slice")
-    rows = dealt.sortWithinPartitions("__slice", "__guest", F.col("__id").desc_nulls_last(), "__text")
+    docs = docs.withColumn("__key", F.struct("__id", F.xxhash64("__text").alias("h")))
+    n = slices_for(docs, "__text")
+    # a guest is the first row of its slice: of several that are equal, one is used
+    dealt = with_next(docs, "__key", n).repartition(n, "__slice")
+    rows = dealt.sortWithinPartitions("__slice", "__guest", F.col("__key").desc_nulls_last(), "__text")
     kind = df.schema[order].dataType
     schema = T.StructType([T.StructField(order, kind)]).add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
 

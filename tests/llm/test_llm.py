@@ -233,6 +233,21 @@ def test_fingerprint_slices_don_t_matter(spark, sf):
     assert rows[0] == rows[1] == rows[2]
 
 
+def test_fingerprints_of_ids_of_any_type(spark):
+    """Text ids, ties and null ids: every row has its successor in descending order of id and hash; slices don't matter."""
+    rows = [(None if i % 7 == 0 else f"id{i % 11:02d}", f"text {i} " * (1 + i % 5)) for i in range(120)] + [("id03", "same")] * 4
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    hashed = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", hashed[r[1]]), reverse=True)
+    want = sorted((d or "", hashlib.sha256(fingerprints.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (d, t) in enumerate(order))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "5", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = fingerprints.fingerprint_edits(docs).collect()
+        assert sorted((r.doc_id or "", r.edited_sha256) for r in got) == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_licenses(spark, sf):
     base = {p.split()[0] + " " + " ".join(p.split()[1:]): x for p, x in licenses.BASE}
     texts = dict(documents(spark, sf)) | {10**6: "MIT License, mit-license! cc by cc by-nc GNU General Public License"}
