@@ -18,14 +18,18 @@ from tessella.llm.ragged import NOT_ALNUM, U64, buffers, lower_ascii, mix64, pre
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: most labelled documents that the chain is trained on; they come to the driver
 SAMPLE = 6000
-FEATURES = 2000
+#: longer labelled texts aren't trained on, so what reaches the driver is bounded in bytes too; every text is classified whole
+SAMPLE_BYTES = 16 << 10
+FEATURES = 500
 #: texts whose features are held at a time
 PART = 250
 FOLDS = 5
-CHAIN = ("abusive", "severe", "toxic")
+#: languages whose toxicity is a category of its own, in the order of the chain; toxicity in any language comes last
+LANGUAGES = ("en", "de", "fr", "es")
 THRESHOLD = 0.5
-#: a cue is a feature of at least so many toxic texts and this part of them, and toxic ones are at least this share of those with it
-CUE_TEXTS, CUE_PART, CUE_SHARE = 3, 0.005, 0.75
+PENALTY = 0.1
+#: a feature is of at least so many toxic texts, and this part of them; at most one in so many speaks against toxicity
+LEAST_TEXTS, LEAST_PART, AGAINST = 3, 0.005, 5
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +61,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 200) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 200) -> np.ndarray:
     """Weights (the last is the intercept) of an L2-penalised logistic model, by accelerated gradient steps."""
     n = len(y)
     w = np.zeros(x.shape[1] + 1, np.float32)
@@ -129,69 +133,78 @@ def _different(texts: list[str]) -> list[int]:
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, folds: int = FOLDS, most: int = FEATURES) -> Chain:
+def _telling(bad: np.ndarray, all_: np.ndarray, toxic: float, n: int, most: int) -> np.ndarray:
+    """The features that tell most, by the log-odds ratio of toxic and other texts over its standard error; those for, and fewer against."""
+    good = all_ - bad
+    odds = np.log((bad + 0.5) / (toxic + 1)) - np.log((good + 0.5) / (n - toxic + 1))
+    z = odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+    for_ = np.argsort(-z, kind="stable")[:most]
+    against = np.argsort(z, kind="stable")[: most // AGAINST]
+    return np.sort(np.concatenate([for_[z[for_] > 0], against[z[against] < -2]]))
+
+
+def fit(texts: list[str], toxic: np.ndarray, languages: list[str | None] | None = None, folds: int = FOLDS, most: int = FEATURES, categories: tuple[str, ...] = LANGUAGES) -> Chain:
     """A chain trained on labelled texts. Deterministic: folds go by position.
 
-    Categories: toxic is the label. Its cues (features that almost only toxic texts have) tell how
-    bad a text is: abusive ones have three different cue words, severe ones a cue in 50 words. Each later model is
-    trained on out-of-fold probabilities of the earlier categories, as it meets such at prediction.
+    Categories: toxicity in each of some languages, as the labels and the texts' languages say, then toxicity in any. Each
+    later model is trained on out-of-fold probabilities of the earlier categories, as it meets such at prediction. A
+    category without toxic texts is never found.
     """
     chosen = _different(texts)
+    spoken = np.array([(languages or [None] * len(texts))[i] or "" for i in chosen], object)
     texts, toxic = [texts[i] for i in chosen], np.asarray(toxic, float)[chosen]
     n = len(texts)
-    least = max(CUE_TEXTS, CUE_PART * toxic.sum())
-    # only features of enough toxic texts can be cues; all texts are then read for those, in parts, to keep memory small
+    least = max(LEAST_TEXTS, LEAST_PART * toxic.sum())
+    # only features of enough toxic texts count; all texts are then read for those, in parts, to keep memory small
     of_toxic = [t for t, y in zip(texts, toxic) if y]
     f = np.concatenate([_distinct(of_toxic[i : i + PART])[1] for i in range(0, len(of_toxic), PART)] or [np.zeros(0, U64)])
     names, bad = np.unique(f, return_counts=True)
     names, bad = names[bad >= least], bad[bad >= least]
-    pairs, counts = [], []
+    pairs = []
     for i in range(0, n, PART):
         doc, f = _distinct(texts[i : i + PART])
         at = np.minimum(np.searchsorted(names, f), max(0, len(names) - 1))
         hit = names[at] == f if len(names) else np.zeros(len(f), bool)
         pairs.append((doc[hit] + i, at[hit]))
-        counts.append(features(pa.array(texts[i : i + PART], pa.string()))[2])
     doc, place = (np.concatenate([p[k] for p in pairs] or [np.zeros(0, np.int64)]) for k in (0, 1))
-    counts = np.concatenate(counts or [np.zeros(0, np.int64)])
-    share = bad / np.maximum(np.bincount(place, minlength=len(names)), 1)
-    telling = np.flatnonzero(share >= CUE_SHARE)
-    telling = np.sort(telling[np.argsort(-bad[telling] * share[telling], kind="stable")[:most]])
+    telling = _telling(bad, np.bincount(place, minlength=len(names)), toxic.sum(), n, most)
     column = np.full(len(names), -1)
     column[telling] = np.arange(len(telling))
     x = np.zeros((n, len(telling)), np.float32)
     has = column[place] >= 0
     x[doc[has], column[place[has]]] = 1
-    cues = x.sum(1)
-    labels = {"toxic": toxic, "abusive": toxic * (cues >= 3), "severe": toxic * (cues * 50 >= np.maximum(counts, 1))}
+    chain = tuple(f"toxic_{c}" for c in categories) + ("toxic",)
     fold = np.arange(n) % folds
     models: list[np.ndarray] = []
     known = x
-    for name in CHAIN:
-        y = labels[name]
+    for name, language in zip(chain, (*categories, None)):
+        y = toxic if language is None else toxic * (spoken == language)
         models.append(fit_linear(known, y))
-        if name == CHAIN[-1]:
+        if language is None:
             break
         held_out = np.zeros(n)
         for k in range(folds):
             w = fit_linear(known[fold != k], y[fold != k])
             held_out[fold == k] = _sigmoid(known[fold == k] @ w[:-1] + w[-1])
         known = np.hstack([known, held_out[:, None].astype(np.float32)])
-    return Chain(CHAIN, names[telling], models)
+    return Chain(chain, names[telling], models)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text: str = "text", id: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """At most `most` labelled texts, the same in each run: the least by a hash of their id. Null labels and ids don't count.
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text: str = "text", id: str = "doc_id", language: str = "lang") -> tuple[list[str], np.ndarray, list[str | None]]:
+    """At most `most` labelled texts of up to SAMPLE_BYTES each, their labels and languages: the least by a hash of their id.
 
-    Of several labels of a document the mean counts, toxic from a half on.
+    The same in each run. Null labels and ids don't count. Of several labels of a document the mean counts, toxic from a half on;
+    of several texts of an id the greatest. Without a column of languages they are null.
     """
     l = labels.where(F.col("toxic").isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("__lid")).agg((F.avg("toxic") >= 0.5).alias("toxic"))
-    d = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("__id"))
+    short = docs.where(F.col(id).isNotNull() & (F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) <= SAMPLE_BYTES))
+    d = short.select(F.col(id).alias("__id"))
     # ids first, texts of the chosen ones after that
     few = l.join(d.distinct(), F.col("__lid") == F.col("__id"), "left_semi").orderBy(F.xxhash64("__lid"), "__lid").limit(most)
-    chosen = docs.select(F.col(id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(few), F.col("__id") == F.col("__lid"))
-    rows = chosen.groupBy("__id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").toArrow()
-    return rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), bool)
+    spoken = F.col(language).cast("string") if language in docs.columns else F.lit(None).cast("string")
+    rows = short.select(F.col(id).alias("__id"), F.struct(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), spoken.alias("lang")).alias("t")).join(F.broadcast(few), F.col("__id") == F.col("__lid"))
+    rows = rows.groupBy("__id").agg(F.max("t").alias("t"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").select("t.text", "t.lang", "toxic").toArrow()
+    return rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), bool), rows.column("lang").to_pylist()
 
 
 def classify(df: DataFrame, chain: Chain, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
@@ -220,5 +233,4 @@ def classify(df: DataFrame, chain: Chain, text: str = "text", keep: tuple[str, .
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), most: int = SAMPLE) -> DataFrame:
     """classify() by a chain trained on at most `most` of the labelled documents; without labels nothing is toxic."""
-    texts, toxic = sample(docs, labels, most)
-    return classify(docs, fit(texts, toxic), keep=keep)
+    return classify(docs, fit(*sample(docs, labels, most)), keep=keep)

@@ -495,18 +495,33 @@ def test_chats(spark, sf):
     assert got[-3].chat == "<|user|>\nhi\n<|end|>\n<|assistant|>\nyo < |x|>\n<|end|>\n" and got[-3].n_snapshots == 1 and -1 not in got
 
 
-def test_toxicity_on_held_out_labels(spark):
+def held_out(spark, parts, of):
+    """Labelled texts in an order by hash: the first `parts` of `of` for training, the others held out."""
     sf = "/root/testdata/sf0.1"
-    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("doc_id", "text", "toxic").collect()
+    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("doc_id", "text", "lang", "toxic").collect()
     d.sort(key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest())
-    half = len(d) * 3 // 4
-    chain = toxicity.fit([r.text for r in d[:half]], np.array([r.toxic for r in d[:half]]))
+    cut = len(d) * parts // of
+    return d[:cut], d[cut:]
+
+
+@pytest.mark.parametrize("parts,of,recall", [(1, 2, 0.86), (3, 4, 0.88)])
+def test_toxicity_on_held_out_labels(spark, parts, of, recall):
+    """Some labels can't be met: of the 449 toxic texts 15 have none of the words that toxic texts have, 17 a single one."""
     import pyarrow as pa
 
-    p = chain.predict(pa.array([r.text for r in d[half:]]))
-    y = np.array([r.toxic for r in d[half:]])
-    assert ((p[:, -1] >= 0.5) & (y == 1)).sum() >= 0.8 * y.sum() and ((p[:, -1] >= 0.5) & (y == 0)).sum() <= 0.005 * (y == 0).sum()
-    assert p.shape[1] == 3 and (p[:, 1] <= p[:, 2] + 0.5).all()
+    seen, unseen = held_out(spark, parts, of)
+    chain = toxicity.fit([r.text for r in seen], np.array([r.toxic for r in seen]), [r.lang for r in seen])
+    p = chain.predict(pa.array([r.text for r in unseen]))
+    y = np.array([r.toxic for r in unseen])
+    found = p[:, -1] >= 0.5
+    print(parts, of, (found & (y == 1)).sum(), y.sum(), (found & (y == 0)).sum())
+    assert (found & (y == 1)).sum() >= recall * y.sum() and (found & (y == 0)).sum() <= 0.003 * (y == 0).sum()
+    assert chain.categories == ("toxic_en", "toxic_de", "toxic_fr", "toxic_es", "toxic") and p.shape[1] == 5
+    # a language's category is found in texts of that language
+    lang = np.array([r.lang for r in unseen])
+    for j, name in enumerate(chain.categories[:3]):
+        hit = p[:, j] >= 0.5
+        assert hit.sum() and (lang[hit] == name[-2:]).mean() > 0.95
 
 
 def gold(page):
