@@ -23,7 +23,7 @@ def _turns(turns: DataFrame) -> DataFrame:
 
 
 def _hash(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.coalesce("role", F.lit("\x00")), F.coalesce("text", F.lit("\x00")))
+    return F.xxhash64(F.lit(seed), F.col("role").isNull(), "role", F.col("text").isNull(), "text")
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
