@@ -50,6 +50,11 @@ def office_strategy(soffice: Column, chrome: Column, word: Column) -> Column:
     return out
 
 
+def page_count(*counts: Column) -> Column:
+    """UDF08, WIN05: the first count of at least one page that a reader gives, else one page. The readers are external; their counts are columns."""
+    return F.coalesce(*[F.when(c > 0, c) for c in counts], F.lit(1))
+
+
 def with_status(converted: DataFrame, images: DataFrame) -> DataFrame:
     """PRJ04 over conversions: path, status."""
     from tessella.operators.ingest import document_status

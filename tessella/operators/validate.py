@@ -34,6 +34,17 @@ def image_warnings(width: Column, height: Column) -> Column:
     return F.array_compact(F.array(F.when(F.greatest(width, height) > GOOD_PIXELS, "may_be_downscaled")))
 
 
+def image_header(content: Column) -> Column:
+    """UDF11: struct(readable, width, height) of PNG and GIF files from their first bytes; other contents aren't readable here."""
+    head = F.hex(F.substring(content, 1, 24))
+    number = lambda digits: F.conv(digits, 16, 10).cast("long")
+    little = lambda at: number(F.concat(F.substring(head, at + 2, 2), F.substring(head, at, 2)))
+    png = (F.length(head) == 48) & F.startswith(head, F.lit("89504E470D0A1A0A")) & (F.substring(head, 25, 8) == "49484452")
+    gif = (F.length(head) >= 20) & F.startswith(head, F.lit("474946383")) & F.substring(head, 10, 3).isin("761", "961")
+    size = F.when(png, F.struct(number(F.substring(head, 33, 8)).alias("width"), number(F.substring(head, 41, 8)).alias("height"))).when(gif, F.struct(little(13).alias("width"), little(17).alias("height")))
+    return F.struct(F.coalesce(png | gif, F.lit(False)).alias("readable"), size["width"].alias("width"), size["height"].alias("height"))
+
+
 def verify_images(images: DataFrame) -> DataFrame:
     """PRJ16, UDF11: adds issues, warnings, suitable. An unreadable image is unsuitable whatever its size."""
     rows = images.withColumn("issues", image_issues(F.col("size_bytes"), F.col("width"), F.col("height"))).withColumn("warnings", image_warnings(F.col("width"), F.col("height")))

@@ -184,11 +184,11 @@ def w3_outliers(spark, sf):
     return E.outliers(table(spark, sf, "events"), "user_id", "value").select("event_id", "is_outlier")
 
 
-@query("""SELECT c_nationkey AS side, round(avg(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END), 4) AS content, round(avg(CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END), 4) AS structure FROM customer GROUP BY c_nationkey""")
+@query("""SELECT c_nationkey AS side, round(avg(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END), 4) AS content, round(avg(CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END), 4) AS structure, round(avg(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END) + avg(CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END), 1) AS overall FROM customer GROUP BY c_nationkey""")
 def w3_rubric(spark, sf):
     """AGG15."""
     c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("side"), F.when(F.col("c_custkey") % 2 == 0, "content").otherwise("structure").alias("dimension"), F.col("c_acctbal").alias("score"))
-    return E.rubric(c).select("side", F.round("content", 4).alias("content"), F.round("structure", 4).alias("structure"))
+    return E.rubric(c).select("side", F.round("content", 4).alias("content"), F.round("structure", 4).alias("structure"), "overall")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'A' WHEN o_totalprice < 100000 THEN 'B' WHEN o_orderkey % 3 = 0 THEN 'A' WHEN o_orderkey % 3 = 1 THEN 'B' ELSE 'TIE' END AS winner FROM orders""")

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.functions import values as V
+from tessella.operators import convert as Z
 from tessella.operators import evals as E
 from tessella.operators import ingest as I
 from tessella.operators import knowledge as K
+from tessella.operators import validate as C
 from tessella.plans.evaluation import _RUNS, _STATS, _runs
 from tessella.plans.registry import query, table
 from tessella.session import new_folder, stored
@@ -63,6 +65,51 @@ def w1_video_scan(spark, sf):
     return I.scan(S.read_files(spark, [root]).select(S.relative_to(F.col("path"), root).alias("path")), video=True).select("path")
 
 
+def _markdown(path: str, content: bytes) -> str | None:
+    """A stand-in for the first converter: it fails on some files and gives nothing for others."""
+    if content.endswith(b"0"):
+        raise ValueError("can't read")
+    return f"# {content.decode()}" if content.endswith((b"1", b"2", b"3")) else None
+
+
+def _plain(path: str, content: bytes) -> str | None:
+    """A stand-in for the second: it gives nothing for names of nine."""
+    return content.decode() if not content.endswith(b"9") else ""
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) || e AS path, CASE WHEN e = '.doc' THEN NULL WHEN d IN (1, 2, 3) THEN 'markitdown' WHEN d <> 9 THEN 'docling' END AS converter, CASE WHEN e = '.doc' THEN NULL WHEN d IN (1, 2, 3) THEN '# ' || c_custkey WHEN d <> 9 THEN CAST(c_custkey AS VARCHAR) END AS markdown,
+ CASE WHEN e <> '.doc' AND d = 0 THEN 'markitdown: can''t read' END AS error, CASE WHEN e = '.doc' OR d = 9 THEN CASE WHEN c_custkey % 3 = 0 THEN 'images_only' ELSE 'failed' END WHEN c_custkey % 3 = 0 THEN 'complete' ELSE 'markdown_only' END AS status
+FROM (SELECT c_custkey, c_custkey % 10 AS d, CASE WHEN c_custkey % 7 = 0 THEN '.doc' ELSE '.pdf' END AS e FROM customer)""")
+def w1_convert(spark, sf):
+    """UDF01, UDF02, WIN05, PRJ04: stand-ins for converters; the first that gives text wins, failures leave their message, old files aren't tried."""
+    k = F.col("c_custkey")
+    path = F.concat(k.cast("string"), F.when(k % 7 == 0, ".doc").otherwise(".pdf"))
+    c = table(spark, sf, "customer")
+    done = Z.convert(c.select(path.alias("path"), k.cast("string").cast("binary").alias("content")), [("markitdown", _markdown), ("docling", _plain)])
+    images = c.where("c_custkey % 3 = 0").select(path.alias("path"), F.array(F.lit("p001-001.webp")).alias("images"))
+    return done.join(Z.with_status(done, images), "path")
+
+
+@query("""SELECT p_partkey, CAST(CASE WHEN p_size % 4 = 0 THEN p_size WHEN p_size % 4 = 1 THEN p_size + 100 WHEN p_size % 4 = 2 THEN p_size + 200 ELSE 1 END AS BIGINT) AS pages FROM part""")
+def w1_page_count(spark, sf):
+    """UDF08, WIN05: counts of three readers, some missing, zero or negative."""
+    n = F.col("p_size")
+    return table(spark, sf, "part").select("p_partkey", Z.page_count(F.when(n % 4 == 0, n), F.when(n % 4 == 1, n + 100).otherwise(0), F.when(n % 4 == 2, n + 200).otherwise(-1)).cast("long").alias("pages"))
+
+
+@query("""SELECT p_partkey, p_size % 4 < 2 AS readable, CAST(CASE WHEN p_size % 4 < 2 THEN p_partkey % 50000 END AS BIGINT) AS width, CAST(CASE WHEN p_size % 4 < 2 THEN p_size * 300 END AS BIGINT) AS height,
+ p_size % 4 < 2 AND least(p_partkey % 50000, p_size * 300) >= 100 AND greatest(p_partkey % 50000, p_size * 300) <= 8192 AS suitable FROM part""")
+def w4_image_headers(spark, sf):
+    """UDF11, PRJ16: PNG and GIF headers, one cut off, and other bytes."""
+    w, h, k = F.col("p_partkey") % 50000, F.col("p_size") * 300, F.col("p_size") % 4
+    hex8 = lambda c: F.lpad(F.hex(c), 8, "0")
+    swapped = lambda c: F.concat(F.substring(F.lpad(F.hex(c), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(c), 4, "0"), 1, 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hex8(w), hex8(h), F.lit("0806"))
+    raw = F.unhex(F.when(k == 0, png).when(k == 1, F.concat(F.lit("474946383961"), swapped(w), swapped(h), F.lit("F700"))).when(k == 2, F.substring(png, 1, 40)).otherwise("FFD8FFE0"))
+    p = table(spark, sf, "part").select("p_partkey", C.image_header(raw).alias("i")).select("p_partkey", "i.*", F.lit(20_000).alias("size_bytes"))
+    return C.verify_images(p).select("p_partkey", "readable", "width", "height", F.coalesce("suitable", F.lit(False)).alias("suitable"))
+
+
 def _archive(k: int, name: str) -> tuple[str, bytes]:
     """An archive per nation: zip, tar, gzipped tar, a zip in a zip, a kind without a reader."""
 

@@ -242,8 +242,10 @@ def parse_yaml(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("path
     return df.select(*keep, text).mapInArrow(run, df.select(*keep).schema.add("matter", "string").add("error", "string"))
 
 
-def archive_members(files: DataFrame, depth: int = 2, most_bytes: int = 1 << 30) -> DataFrame:
-    """SRC06: archive, member, content, error of zip and tar files, nested to `depth`.
+def archive_members(files: DataFrame, depth: int = 16, most_bytes: int = 1 << 30) -> DataFrame:
+    """SRC06: archive, member, content, error of zip and tar files, and of those within, to `depth`.
+
+    What isn't read gets an error row: members of more than `most_bytes` and archives nested deeper, as guards against bombs.
 
     Names that are absolute or climb out are refused with an error row, as are kinds without a reader here (7z) and broken files.
     """
@@ -272,8 +274,11 @@ def archive_members(files: DataFrame, depth: int = 2, most_bytes: int = 1 << 30)
                 yield archive, member, None, "unsafe name"
                 continue
             yield archive, member, content, error
-            if content is not None and left > 1 and member.lower().endswith((".zip", ".tar", ".tar.gz", ".tgz")):
-                yield from walk(f"{archive}!{member}", member, content, left - 1)
+            if content is not None and member.lower().endswith((".zip", ".tar", ".tar.gz", ".tgz")):
+                if left > 1:
+                    yield from walk(f"{archive}!{member}", member, content, left - 1)
+                else:
+                    yield f"{archive}!{member}", "", None, "nested too deep"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
