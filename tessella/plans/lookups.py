@@ -134,3 +134,16 @@ def w1_office_strategies(spark, sf):
     k = F.col("p_partkey") % 4
     s = V.office_strategy(k == 0, k <= 1, k <= 2)
     return table(spark, sf, "part").select("p_partkey", s["strategy"].alias("strategy"), s["seconds"].alias("seconds"))
+
+
+@query("""WITH RECURSIVE r(k, v) AS (SELECT o_orderkey, o_orderkey FROM orders UNION ALL SELECT k, v // 2 FROM r WHERE v >= 10), e AS (SELECT k, min(v) AS v FROM r GROUP BY k)
+SELECT k, CASE WHEN v % 2 = 0 THEN v + 1 ELSE v * 10 END + 1 AS v, 'first' AS branch FROM e UNION ALL SELECT k, -v, 'second' FROM e""")
+def w5_compositions(spark, sf):
+    """GRF08: halved while it is 10 or more; then two branches, one of which treats even and odd numbers apart and goes on with a second step."""
+    from tessella.operators import compose as P
+
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("v"))
+    v = F.col("v")
+    low, _ = P.iterative(o, lambda d: d.withColumn("v", F.when(v >= 10, F.floor(v / 2).cast("long")).otherwise(v)), v >= 10)
+    split = lambda d: P.conditional(d, v % 2 == 0, lambda x: x.withColumn("v", v + 1), lambda x: x.withColumn("v", v * 10))
+    return P.parallel(low, first=lambda d: P.sequential(d, split, lambda x: x.withColumn("v", v + 1)), second=lambda d: d.withColumn("v", -v))
