@@ -397,10 +397,11 @@ def index(live: DataFrame, percent: int) -> DataFrame:
 def shared_keys(rows: DataFrame) -> DataFrame:
     """Index rows whose key several sets have: key, sid, and centre, the set of the key that is least by hash.
 
-    So most keys of a group of copies name the same few centres. Counted before the join, which splits skewed keys.
+    So most keys of a group of copies name the same few centres. Counts are stored before the join, so that both of its
+    sides are shuffled and Spark can split skewed keys; so it is with the other sums that are joined back to their rows.
     """
     keys = rows.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("sid").alias("h"), "sid"))["sid"].alias("centre")).where("members > 1").select("key", "centre")
-    return rows.join(keys, "key")
+    return rows.join(stored(keys, "keys"), "key")
 
 
 def _bins(size: DataFrame, column: str) -> int:
@@ -415,7 +416,7 @@ def star_links(shared: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     """
     best = shared.where("sid != centre").groupBy("sid", "centre").count().groupBy("sid").agg(F.max(F.struct("count", "centre"))["centre"].alias("centre"))
     best = stored(best.join(live.select("sid", (F.length("tokens") / 8).cast("long").alias("size")), "sid"), "best")
-    salts = best.groupBy("centre").agg(F.ceil(F.sum("size") / BLOCK_TOKENS).cast("int").alias("salts"))
+    salts = stored(best.groupBy("centre").agg(F.ceil(F.sum("size") / BLOCK_TOKENS).cast("int").alias("salts")), "salts")
     bins = _bins(best, "size")
     salt = F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt")
     ways = best.join(salts, "centre").select("sid", "centre", salt).unionByName(salts.select(F.col("centre").alias("sid"), "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
@@ -439,7 +440,7 @@ def star_links(shared: DataFrame, live: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     links = stored(rows.groupBy("bin").applyInArrow(run, "a long, b long"), "star")
-    discard(best)
+    discard(best, salts)
     return links
 
 
@@ -466,12 +467,12 @@ def open_members(shared: DataFrame, labels: DataFrame) -> DataFrame:
     A cluster is what such keys connect, linked or not: pairs that can still link are of one cluster.
     """
     known = shared.join(labels.select("sid", "comp"), "sid", "left").select("key", "sid", "centre", F.coalesce("comp", "sid").alias("comp"))
-    split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    split = stored(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "split")
     rows = stored(known.join(split, "key", "left_semi").select("sid", "comp", "centre").distinct(), "open")
     edges = rows.where("sid != centre").select(F.col("sid").alias("a"), F.col("centre").alias("b"))
     clusters = components(edges)
     out = stored(rows.select("sid", "comp").distinct().join(clusters.select("sid", F.col("comp").alias("cluster")), "sid"), "clusters")
-    discard(rows, clusters)
+    discard(rows, clusters, split)
     return out
 
 
@@ -514,6 +515,7 @@ def block_links(members: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     sides = parts.groupBy("cluster").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"))
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_TOKENS)).cast("int")
     sides = sides.select("cluster", "main", blocks(F.col("all") - F.col("most")).alias("lefts"), blocks(F.col("all")).alias("rights"))
+    sides = stored(sides, "sides")
     h = F.xxhash64("sid")
     rows = sized.join(sides, "cluster").withColumn("left", F.col("comp") != F.col("main")).withColumn("l", F.pmod(h, "lefts").cast("int")).withColumn("r", F.pmod(h, "rights").cast("int"))
     as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda x: F.struct(x.alias("lo"), F.col("r").alias("hi")))
@@ -537,7 +539,7 @@ def block_links(members: DataFrame, live: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     links = stored(rows.groupBy("bin").applyInArrow(run, "a long, b long"), "blocks")
-    discard(sized)
+    discard(sized, sides)
     return links
 
 
@@ -560,7 +562,7 @@ def jaccard_join(df: DataFrame, text: str = "text", id: str = "doc_id", k: int =
     live = stored(live_sets(docs, hot_tokens(described), k, percent), "live")
     keys = stored(index(live, percent), "index")
     shared = stored(shared_keys(keys), "shared")
-    discard(keys)
+    discard(keys)  # what counts its keys is small, and stays
     stars = star_links(shared, live, percent)
     labels = components(stars)
     members = open_members(shared, labels)
@@ -574,7 +576,7 @@ def jaccard_join(df: DataFrame, text: str = "text", id: str = "doc_id", k: int =
     known = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("__id").alias("__rid")).join(labels.select("sid", "comp"), "sid", "left").select("sid", "__rid", F.coalesce("comp", "sid").alias("comp"))
     known = stored(known, "sets")
     discard(labels)
-    least = known.groupBy("comp").agg(F.min("__rid").alias("component_id"))
+    least = stored(known.groupBy("comp").agg(F.min("__rid").alias("component_id")), "components")
     of_set = known.join(least, "comp").select("sid", "component_id")
     out = rows.select("__id", "n", "sid").join(of_set, "sid", "left")
     return out.select(F.col("__id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"))
