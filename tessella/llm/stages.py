@@ -54,12 +54,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by a key of their own, so repeated and null ids lose and keep no row that they shouldn't.
     """
     docs = with_row_key(docs)
-    classes = jaccard.jaccard_join(docs, id=ROW).withColumnRenamed("component_id", "__component")
+    classes = stored(jaccard.jaccard_join(docs, id=ROW).withColumnRenamed("component_id", "__component"), "classes")
     ids = docs.select(ROW, "doc_id").join(classes.where("n_shingles > 0"), ROW)
-    # unique keys make groups of one row: only groups of more have rows to drop
-    least = ids.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("__kept"), F.count("*").alias("__size")).where("__size > 1")
-    gone = ids.join(least, "__component").where(F.col(ROW) != F.col("__kept")).select(ROW)
-    return docs.join(gone, ROW, "left_anti").drop(ROW)
+    # a least row of each component: partial minima travel, so a component of any size makes no task large
+    least = ids.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias(ROW)).select(ROW)
+    wordless = classes.where("n_shingles = 0").select(ROW)
+    return docs.join(least.unionByName(wordless), ROW, "left_semi").drop(ROW)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
