@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ship
+from tessella.llm.common import ship, widened
 from tessella.llm.ragged import SPACES, buffers, hashes, separators, spans, windows
 
 #: least and most bytes per compressed byte, by length in bytes from which they hold, where no labels tell better
@@ -22,8 +22,10 @@ SMALL = ((256, 256), (1024, 512), (4096, 1024))
 #: share of a text's chunks of a size that may lie outside their band
 OUTSIDE = 0.05
 LEVEL = 3
-#: fitted limits: length bands to a doubling, most labelled texts and least good ones of a band, share of the good ones inside, and what is added to both limits
-STEPS, SAMPLE, LEAST_TEXTS, INSIDE, MARGIN = 2, 20_000, 50, 0.998, 0.01
+#: fitted limits: length bands to a doubling, least good texts of a band, share of the good ones inside, and what is added to both limits
+STEPS, LEAST_TEXTS, INSIDE, MARGIN = 2, 50, 0.998, 0.01
+#: up to so many good ids are sent to all executors, so that only their texts are measured; of more, all texts are and the measures meet the ids
+EARLY = 1 << 20
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -139,37 +141,50 @@ def _measure(data: np.ndarray, offsets: np.ndarray, bands: CompressionBands) ->
     }
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", most: int = SAMPLE, bands=BANDS) -> tuple:
+def _limits(found: list[tuple[int, int]]) -> tuple[float, float] | None:
+    """The ratios within which INSIDE of a band's texts lie, moved by MARGIN; found: (ratio in hundredths, texts that have it)."""
+    cents, counts = (np.array(x) for x in zip(*sorted(found)))
+    upto = np.cumsum(counts)
+    n = int(upto[-1])
+    if n < LEAST_TEXTS:
+        return None
+    cut = int((1 - INSIDE) * n)
+    low, high = cents[np.searchsorted(upto, [cut, n - 1 - cut], "right")] / 100
+    return float(low) - MARGIN, float(high) + MARGIN
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", bands=BANDS) -> tuple:
     """Limits of the whole text's ratio by length, from labelled texts: BANDS narrowed to what good ones have.
 
-    At most `most` ids labelled good (mean quality over a half) are used, the least by hash. In each of STEPS length bands to a
+    All rows whose id is labelled good (mean quality over a half) are used. In each of STEPS length bands to a
     doubling with LEAST_TEXTS good texts or more that pass the base rules and BANDS, INSIDE of them lie within the limits, which
     then are moved outwards by MARGIN. Ratios are counted to two decimals, so only counts reach the driver: some hundred a
-    band. Without labels the limits stay. Null ids and labels don't count; each row of an id does.
+    band, whatever the corpus. No text is shuffled. Without labels the limits stay. Null ids and labels don't count; each row of an id does.
     """
     ship(docs.sparkSession)
     good = labels.where(F.col("quality").isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("__lid")).agg(F.avg("quality").alias("q")).where("q > 0.5").select("__lid")
-    few = good.orderBy(F.xxhash64("__lid"), "__lid").limit(most)
-    rows = docs.join(F.broadcast(few), docs[id] == few["__lid"], "left_semi").select(F.col(text).cast("string").alias("__text"))
+    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text"))
+    same = F.col("__id") == F.col("__lid")
+    early = good.count() <= EARLY
+    if early:
+        rows = rows.join(F.broadcast(good), same, "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = CompressionBands(bands)
         for b in batches:
-            m = measure(b.column(0), judge)
-            size = np.diff(buffers(b.column(0))[1])
+            m = measure(b.column(1), judge)
+            size = np.diff(buffers(b.column(1))[1])
             ok = m["kept"]
             step = np.floor(STEPS * np.log2(np.maximum(size[ok], 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(step.astype(np.int32)), pa.array(np.round(m["ratio"][ok] * 100).astype(np.int32))], ["step", "cents"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array(step.astype(np.int32)), pa.array(np.round(m["ratio"][ok] * 100).astype(np.int32))], ["__id", "step", "cents"])
 
+    measured = rows.mapInArrow(run, widened(rows.select("__id").schema, "step int, cents int"))
+    if not early:
+        measured = measured.join(good, same, "left_semi")
     seen: dict[int, list[tuple[int, int]]] = {}
-    for r in rows.mapInArrow(run, "step int, cents int").groupBy("step", "cents").count().collect():
+    for r in measured.groupBy("step", "cents").count().collect():
         seen.setdefault(r["step"], []).append((r["cents"], r["count"]))
-    fitted = {}
-    for step, found in seen.items():
-        values = np.repeat(*(np.array(x) for x in zip(*sorted(found))))
-        if len(values) >= LEAST_TEXTS:
-            cut = int((1 - INSIDE) * len(values))
-            fitted[step] = values[cut] / 100 - MARGIN, values[-1 - cut] / 100 + MARGIN
+    fitted = {step: limit for step, found in seen.items() if (limit := _limits(found))}
     edges = sorted({at for at, _, _ in bands} | {math.ceil(2 ** (s / STEPS)) for step in fitted for s in (step, step + 1)})
     out = []
     for at in edges:
