@@ -756,6 +756,16 @@ def test_pipeline(spark, sf):
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_pipeline_quality_uses_all_labels(spark, tmp_path):
+    """The stage's limits are those of all labelled texts, more than a sample would hold."""
+    import corpus_pipeline
+
+    docs, _, kept = many_good(spark)
+    docs.selectExpr("doc_id", "1 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(kept)
+
+
 CLASHING = ("size", "kept", "is_toxic", "p_toxic", "n_words", "ratio", "n_tokens", "fingerprint", "component_id", "n_shingles", "score", "key", "sid", "bin", "n", "weight", "target", "taken", "n_copies")
 
 
