@@ -194,6 +194,30 @@ def test_frontmatter_parsers(spark):
     assert '"two lines' in strict["p"].matter and strict["q"].error == "no front matter" and strict["r"].matter is None
 
 
+def test_yaml_loader(monkeypatch):
+    """Plain front matter doesn't reach PyYAML's own parser; what its parser in C reads otherwise, refuses or can't hold does. All give what safe_load gives."""
+    import yaml
+
+    own, seen = yaml.safe_load, []
+    monkeypatch.setattr(yaml, "safe_load", lambda t: seen.append(t) or own(t))
+    load = S.yaml_loader()
+
+    def said(f, t):
+        try:
+            return repr(f(t))
+        except yaml.YAMLError as e:
+            return str(e)
+
+    plain = ["segment: 'A'\nnumber: 12", "- a\n- b", "a: [x, {b: 1}]\nd: >-\n  two\n  lines\ne: 2026-01-02\nf: yes", "name: Tom’s — für 日本!\n# note\nn: ~\nm: 0o7", "", "a: {"]
+    others = ["a:\tb", "a: [b?]", "? a", "a: |# x\n", "!", "a: &x 1\nb: *x", "\ufeffa: 1", 'a: "\\x41"', "a: \x07", "a: " + "x" * 20000, "- " * 300 + "a"]
+    for t in plain[:-1]:
+        assert said(load, t) == said(own, t)
+    assert seen == []
+    for t in plain[-1:] + others:
+        assert said(load, t) == said(own, t)
+    assert seen == plain[-1:] + others
+
+
 def test_archives(spark):
     inner = io.BytesIO()
     with zipfile.ZipFile(inner, "w") as z:

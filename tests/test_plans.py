@@ -41,6 +41,12 @@ def test_query_equals_sql(spark, duck, sf, name):
     assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall())
 
 
+def test_dear_rows_are_dealt_out(spark, sf):
+    """A small file is read by one task; its rows are dealt to others before dear work."""
+    for name in ("w4_yaml",):
+        assert "REPARTITION_BY_COL" in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
