@@ -6,7 +6,7 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -178,20 +178,30 @@ def run_directories(listing: DataFrame, root: str, left_out: tuple[str, ...] = N
     return rows.select(F.when(relative == "", base.rstrip("/")).otherwise(F.concat(F.lit(base), relative)).alias("run"), relative.alias("relative")).distinct()
 
 
+#: from a first line of three dashes to the next such line; white space may follow the dashes
+_MATTER = r"(?s)\A---[ \t\x0B\f\r]*\n(?:.*?\n)??---[ \t\x0B\f\r]*(?=\n|\z)"
+
+
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _matter(text: Column) -> Column:
-    """The lines between a first line of three dashes and the next such line, as an array; null without either."""
-    lines = F.split(text, "\n")
-    rule = F.transform(lines, lambda x: F.rtrim(F.regexp_replace(x, r"\s+$", "")) == "---")
-    end = F.array_position(F.slice(rule, 2, F.greatest(F.lit(0), F.size(rule) - 1)), True)
-    return F.when(F.get(rule, F.lit(0)) & (end > 0), F.slice(lines, F.lit(2), (end - 1).cast("int")))
+    """The lines between a first line of three dashes and the next such line, as an array; null without either. Lines behind them aren't split."""
+    return _let(F.regexp_extract(text, _MATTER, 0), lambda m: F.when(m != "", _let(F.split(m, "\n"), lambda x: F.slice(x, F.lit(2), F.size(x) - 2))))
 
 
 def frontmatter(text: Column) -> Column:
-    """SRC14: lenient `key: value` lines between rules, however indented, as a map; null without front matter. The last of equal keys wins."""
-    pairs = F.transform(_matter(text), lambda x: F.struct(X.strip(F.substring_index(x, ":", 1)).alias("k"), F.regexp_replace(X.strip(F.regexp_extract(x, "(?s)^[^:]*:(.*)$", 1)), "^[\"']+|[\"']+$", "").alias("v"), F.contains(x, F.lit(":")).alias("is")))
-    pairs = F.filter(pairs, lambda p: p["is"] & (p["k"] != "") & ~F.startswith(p["k"], F.lit("#")))
-    once = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(F.transform(once, lambda p: F.struct(p["k"], p["v"])))
+    """SRC14: lenient `key: value` lines between rules, however indented, as a map; null without front matter. The last of equal keys wins.
+
+    Lines are sorted by key and place, so that equal keys lie side by side, and back by place.
+    """
+    pairs = F.transform(_matter(text), lambda x, i: F.struct(X.strip(F.substring_index(x, ":", 1)).alias("k"), i.alias("i"), F.regexp_replace(X.strip(F.regexp_extract(x, "(?s)^[^:]*:(.*)$", 1)), "^[\"']+|[\"']+$", "").alias("v"), F.contains(x, F.lit(":")).alias("is")))
+    pairs = F.sort_array(F.filter(pairs, lambda p: p["is"] & (p["k"] != "") & ~F.startswith(p["k"], F.lit("#"))))
+    last = _let(pairs, lambda a: F.filter(a, lambda p, i: ~F.get(a, i + 1)["k"].eqNullSafe(p["k"])))
+    placed = F.sort_array(F.transform(last, lambda p: F.struct(p["i"], p["k"], p["v"])))
+    return F.map_from_entries(F.transform(placed, lambda p: F.struct(p["k"], p["v"])))
 
 
 def frontmatter_blocks(df: DataFrame, text: str = "text") -> DataFrame:

@@ -396,6 +396,19 @@ def test_front_matter_indents(spark):
     assert (r[0]["name"], r[0]["description"]) == ("a", "one two") and r[1]["name"] == r[3]["name"] == ""
 
 
+def test_front_matter_of_many_lines(spark):
+    """Lines are read once each, however many there are; the last of equal keys wins and keeps its place."""
+    import time
+
+    n, keys = 4000, 3000
+    text = "---  \n" + "".join(f"k{i % keys}: {i}\n" for i in range(n)) + "---\nk0: body\n---\n"
+    df = spark.createDataFrame([(text,), ("---\n---\na: 1\n---",), ("---\r\na: 1\r\n---\t",), ("---\na: 1\n----\n",)], "text string")
+    began = time.monotonic()
+    got = [r.m and [tuple(x) for x in r.m] for r in df.select(F.map_entries(S.frontmatter(F.col("text"))).alias("m")).collect()]
+    assert got == [[(f"k{i % keys}", str(i)) for i in range(n - keys, n)], [], [("a", "1")], None]
+    assert time.monotonic() - began < 30
+
+
 def test_places_and_splits_in_ranges(spark):
     """Places over ranges are those of one sort; a split by bins is that of ranking each stratum."""
     df = spark.range(3000).select((F.col("id") * 7919 % 3001).cast("string").alias("name"))

@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, duck, sf, name):
 
 def test_dear_rows_are_dealt_out(spark, sf):
     """A small file is read by one task; its rows are dealt to others before dear work."""
-    for name in ("w4_yaml",):
+    for name in ("w4_yaml", "w4_frontmatter"):
         assert "REPARTITION_BY_COL" in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
